@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from raqim.llm.confusables import changed_values, unify
 from raqim.llm.layout_duplicates import layout_groups
 from raqim.llm.leaks import find_leaks
+from raqim.llm.scans import repair
 from raqim.llm.splitting import split_texts
 from raqim.llm.tokens import encode, read_ranks
 from raqim.sources.tables import table
@@ -36,6 +37,17 @@ def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
     return groups
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    noise, _ = repair(table(spark, directory, "articles", "article_id", "text"))
+    return noise.select("article_id", "noise")
+
+
+def p2_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    """Every article as continuous paragraphs."""
+    _, repaired = repair(table(spark, directory, "articles", "article_id", "text"))
+    return repaired
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return changed_values(table(spark, directory, "entities", "entity_id", "text", "normalized"), ("text", "normalized"))
 
@@ -75,6 +87,8 @@ def p9_spans(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_unified": p3_unified,
     "p4_found": p4_found,
