@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from raqim.llm.confusables import changed_values, unify
 from raqim.llm.layout_duplicates import layout_groups
 from raqim.llm.leaks import find_leaks
+from raqim.llm.moderation import severity
 from raqim.llm.scans import repair
 from raqim.llm.splitting import split_texts
 from raqim.llm.tokens import encode, read_ranks
@@ -84,6 +85,34 @@ def p9_spans(spark: SparkSession, directory: str) -> DataFrame:
     return find_leaks(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text"))
 
 
+#: Expected severity from which a document counts as abusive; the scale ends at 2.
+ABUSIVE = 1.0
+
+
+def _severity(spark: SparkSession, directory: str) -> DataFrame:
+    return severity(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "moderation_labels", "doc_id", "abusive"))
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _severity(spark, directory).where(F.col("severity") >= ABUSIVE).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return _severity(spark, directory)
+
+
+def p10_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents, abusive ones and mean severity of each source."""
+    scored = _severity(spark, directory).withColumnRenamed("doc_id", "k")
+    # scored keeps one row per document, so that the sources are read beside it by key
+    documents = table(spark, directory, "documents", "doc_id", "source")
+    return (
+        documents.join(scored, F.col("doc_id") == F.col("k"))
+        .groupBy("source")
+        .agg(F.count("*").alias("documents"), F.count_if(F.col("severity") >= ABUSIVE).alias("abusive"), F.avg("severity").alias("mean_severity"))
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -96,4 +125,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
