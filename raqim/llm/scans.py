@@ -65,13 +65,17 @@ def skeleton(word: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words; signs that stand for letters count as letters, numbers become ``#``."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}|!@]+|!(?!\p{L})|(?<!\p{L})!", " "), " +")
-    return F.filter(words, lambda w: w != "")
+    """Lower-cased words, some of them empty; signs that stand for letters count as letters."""
+    return F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}|!@]+", " "), " ")
+
+
+def _masked(word: str) -> Column:
+    """A number as ``#``; the comparison spares most words the pattern."""
+    return F.when((F.col(word) < ":") & F.col(word).rlike(r"^\p{N}+$"), "#").otherwise(F.col(word))
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """Lines of the texts with line breaks: (k, pos, line, s, cand, key, shape)."""
+    """Lines of the texts with line breaks: (k, whole, pos, s, cand, key, shape)."""
     s = _stripped(F.col("line"))
     key = F.translate(F.lower(F.col("s")), "أإآ", "ااا")
     key = F.regexp_replace(key, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
@@ -81,11 +85,12 @@ def _lines(df: DataFrame) -> DataFrame:
     cand = F.col("s").rlike(r"\p{L}{2}.*[^\p{L}].*\p{L}{2}") & ~F.col("s").rlike(rf"[.؛;:,،!?؟{MARKS}]$|[:：]|{ITEM}") & (F.length("s") <= 160)
     return (
         df.where(F.col("t").contains("\n"))
-        .select("k", F.xxhash64("t").alias("whole"), F.posexplode(F.split("t", r"\r?\n")).alias("pos", "line"))
+        .select("k", F.xxhash64("t").alias("whole"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
         .withColumn("s", s)
         .withColumn("cand", cand)
         .withColumn("key", F.when(F.col("cand"), key))
-        .withColumn("shape", F.when(F.col("cand"), F.coalesce(F.nullif(F.regexp_extract(masked, r"^[^#]*#\s*\S*", 0), F.lit("")), masked)))
+        .withColumn("shape", F.when(F.col("cand"), masked))
+        .select("k", "whole", "pos", "s", "cand", "key", F.when(F.col("shape").contains("#"), F.regexp_extract("shape", r"^[^#]*#\s*\S*", 0)).otherwise(F.col("shape")).alias("shape"))
     )
 
 
@@ -96,8 +101,9 @@ def header_lines(lines: DataFrame, least_texts: int = 3, share: float = 0.15) ->
     or without rules, numbers and capitals. A shape needs both in several different texts.
     Its first word alone will do as a shape if most of what begins so is a header.
     """
-    dress = F.concat(F.regexp_replace(F.regexp_replace("s", r"[\p{L}\p{M}]+", "a"), rf"{DIGIT}+", "0"), (F.upper("s") == F.col("s")).cast("string"))
+    dress = F.xxhash64(F.regexp_replace("s", rf"[\p{{L}}\p{{M}}]+|{DIGIT}+", "a"), F.upper("s") == F.col("s"))
     within = lines.where("cand").groupBy("k", "shape", "key").agg(F.count("*").alias("c"), F.min(dress).alias("d0"), F.max(dress).alias("d1"), F.min("whole").alias("whole"))
+    within = cut(within)  # read for the shapes and for the headers of one text
     again, dressed = F.col("c") > 1, F.col("d0") != F.col("d1")
     first = F.struct(F.regexp_extract("shape", r"^\S+", 0).alias("shape"), F.lit(True).alias("first"), F.lit(2 * share).alias("share"))
     full = F.struct("shape", F.lit(False).alias("first"), F.lit(share).alias("share"))
@@ -116,7 +122,7 @@ def _kinds(lines: DataFrame) -> DataFrame:
     word = _bounded(shapes.where("first").select(F.col("of").alias("first"), F.lit(True).alias("by_first")), "first")
     known = lines.withColumn("first", F.regexp_extract("shape", r"^\S+", 0)).join(full, "shape", "left").join(word, "first", "left").join(local, ["k", "key"], "left")
     first = known.select(
-        "k", "pos", "line", "s", F.when(F.coalesce("by_shape", "by_first", "local"), "header").when(F.col("s").rlike(PAGE), "page").when(F.col("s").rlike(BARE), "bare").otherwise("text").alias("kind")
+        "k", "pos", "s", F.when(F.coalesce("by_shape", "by_first", "local"), "header").when(F.col("s").rlike(PAGE), "page").when(F.col("s").rlike(BARE), "bare").otherwise("text").alias("kind")
     )
     order = Window.partitionBy("k").orderBy("pos")
     kept = F.col("kind").isin("bare", "text") & (F.col("s") != "")
@@ -128,14 +134,13 @@ def _kinds(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("k", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     place, numbers = F.count_if(kept).over(inside) - 1, F.count_if(F.col("kind") == "bare").over(inside)
     amount = (F.col("block") > 0) & (place == 2 * numbers)
-    return second.withColumn("amount", amount).select("k", "pos", "line", "s", F.when((F.col("kind") == "bare") & ~F.col("amount"), "page").when(F.col("kind") == "bare", "text").otherwise(F.col("kind")).alias("kind"))
+    return second.withColumn("amount", amount).select("k", "pos", "s", F.when((F.col("kind") == "bare") & ~F.col("amount"), "page").when(F.col("kind") == "bare", "text").otherwise(F.col("kind")).alias("kind"))
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """(a, b, n): neighbouring words over the whole corpus, with a mark before the first word."""
+    """(a, b, n): neighbouring words over the whole corpus; the first word of a text follows ''."""
     pairs = F.arrays_zip(F.concat(F.array(F.lit("")), F.col("w")).alias("a"), F.col("w").alias("b"))
-    masked = lambda c: F.when(F.col(c).rlike(r"^\p{N}+$"), "#").otherwise(F.col(c))
-    return rows.select(tokens(F.col("t")).alias("w")).select(F.inline(pairs)).where("b IS NOT NULL").select(masked("a").alias("a"), masked("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return rows.select(tokens(F.col("t")).alias("w")).select(F.inline(pairs)).where("b <> ''").select(_masked("a").alias("a"), _masked("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _replacements(bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +150,7 @@ def _replacements(bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     odd = F.col("word").rlike(r"[0-9|!@]")
     best = real.where(~odd).groupBy("bone").agg(F.max(F.struct("n", "word")).alias("top"))
     ratio = F.when(odd, ODD_RATIO).otherwise(LETTER_RATIO)
-    return real.join(best, "bone").where((F.col("top.n") >= ratio * F.col("n")) & (F.col("top.word") != F.col("word"))).select("word", F.col("top.word").alias("right")), words
+    return real.join(best, "bone").where((F.col("top.n") >= ratio * F.col("n")) & (F.col("top.word") != F.col("word")) & ~F.col("word").endswith("!")).select("word", F.col("top.word").alias("right")), words
 
 
 def _bounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -164,7 +169,7 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     bigrams = cut(_bigrams(rows))
     suspects, words = _replacements(bigrams)
     suspects = cut(suspects)
-    kinds = cut(_kinds(_lines(rows)))
+    kinds = cut(_kinds(cut(_lines(rows))))
 
     # joins of lines: what follows each kept line, and whether its last word is broken
     kept = kinds.where("kind = 'text'")
@@ -173,12 +178,12 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     ahead = ahead.withColumn("broken", F.coalesce(F.col("s").rlike(BROKEN) & (F.col("first_word") != ""), F.lit(False)))
     head = F.regexp_extract("s", rf"([\p{{L}}\p{{M}}]+)[{MARKS}]+$", 1)
     plain = F.col("broken") & F.col("s").rlike(r"[-‐‑]$") & ~F.col("s").rlike("ـ.?$")
-    ahead = ahead.withColumn("compound", F.when(plain, F.lower(F.concat(head, F.lit("-"), "first_word")))).withColumn("joined", F.when(plain, F.lower(F.concat(head, "first_word"))))
-    # only compounds met at a line end are looked up, so both lookups stay small
-    asked = ahead.where("compound IS NOT NULL").select("compound", "joined").distinct()
-    seen = rows.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]+-[\p{L}\p{M}]+"), F.lit(0))).alias("compound")).groupBy("compound").agg(F.count("*").alias("nc"))
-    real = asked.join(seen, "compound").join(words.select(F.col("word").alias("joined"), "n"), "joined", "left").where(F.col("nc") > F.coalesce("n", F.lit(0))).select("compound").distinct().withColumn("real", F.lit(True))
-    ahead = ahead.join(real, "compound", "left").withColumn("hyphen", F.col("broken") & F.col("real").isNull())
+    ahead = ahead.withColumn("x", F.when(plain, F.lower(head))).withColumn("y", F.when(plain, F.lower("first_word")))
+    # a compound of the corpus is met as two neighbouring words, besides these breaks, more often than as one
+    asked = ahead.where("x IS NOT NULL").groupBy("x", "y", F.concat("x", "y").alias("joined")).agg(F.count("*").alias("breaks"))
+    pairs = bigrams.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n").alias("apart"))
+    real = asked.join(pairs, ["x", "y"]).join(words.select(F.col("word").alias("joined"), "n"), "joined", "left").where(F.col("apart") - F.col("breaks") > F.coalesce("n", F.lit(0))).select("x", "y", F.lit(True).alias("real"))
+    ahead = ahead.join(_bounded(cut(real), "x", "y"), ["x", "y"], "left").withColumn("hyphen", F.col("broken") & F.col("real").isNull())
 
     ends = F.col("s").rlike(r"[.!?؟:：…][»\"')\]]*$") | (F.col("s") == "") | F.col("next").rlike(ITEM) | (F.col("next") == "") | F.col("s").rlike(BARE) | F.col("next").rlike(BARE)
     piece = (
@@ -194,14 +199,12 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
 
     zero = F.lit(0).cast("bigint")
     clean = flowed.unionByName(rows.where(F.col("t").isNull() | ~F.col("t").contains("\n")).select("k", "t", zero.alias("hyphen"), zero.alias("header"), zero.alias("page")))
-    w = tokens(F.col("t"))
     around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
-    met = clean.where("t IS NOT NULL").select("k", w.alias("w")).where(F.size("w") > 0).select("k", F.inline(around)).where("b IS NOT NULL")
+    met = clean.where("t <> ''").select("k", tokens(F.col("t")).alias("w")).select("k", F.inline(around)).where("b <> ''")
     met = met.join(_bounded(suspects, "word", "right").withColumnRenamed("word", "b"), "b").select("k", "b", "right", "a", "c").distinct()
     met = cut(met)
-    masked = lambda c: F.when(F.col(c).rlike(r"^\p{N}+$"), "#").otherwise(F.col(c))
-    left = met.select("k", "b", "right", masked("a").alias("x"), F.col("right").alias("y"))
-    right = met.where("c <> ''").select("k", "b", "right", F.col("right").alias("x"), masked("c").alias("y"))
+    left = met.select("k", "b", "right", _masked("a").alias("x"), F.col("right").alias("y"))
+    right = met.where("c <> ''").select("k", "b", "right", F.col("right").alias("x"), _masked("c").alias("y"))
     supported = left.unionByName(right).join(bigrams.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("b", "right")).alias("wrong"))
     counted = clean.join(supported, "k", "left").withColumn("char", F.coalesce(F.size("wrong"), F.lit(0)).cast("bigint"))
 
