@@ -30,6 +30,23 @@ WHERE article_id <> first_id
 WITH {_FIELDS}
 SELECT min(article_id) AS first_id, count(*) AS copies, count(DISTINCT coalesce(a.number, '') || chr(1) || a.text) AS layouts
 FROM kept JOIN articles a USING (article_id) GROUP BY kept.num, c
+""",
+    "p7_found": r"""
+WITH n AS (
+  SELECT *, translate(number, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９', '012345678901234567890123456789') AS plain,
+    regexp_replace(text, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS bare
+  FROM articles
+), r AS (
+  SELECT document_id, article_id, trust_rank, imported_at,
+    nullif(regexp_extract(plain, '[0-9]+'), '') || CASE WHEN regexp_matches(lower(plain), 'مكرر|\bbis\b') THEN ' bis' ELSE '' END AS num,
+    coalesce(regexp_matches(bare, '[.!?؟۔][»”"'')\]]*$') AND NOT regexp_matches(bare, '(\.\.|…)[»”"'')\]]*$') AND regexp_matches(bare, '\p{L}'), false) AS usable
+  FROM n LEFT JOIN import_sources ON import_source = source_name
+), w AS (
+  SELECT *, count(*) OVER (PARTITION BY document_id, num) AS versions,
+    row_number() OVER (PARTITION BY document_id, num ORDER BY usable DESC, trust_rank NULLS LAST, imported_at DESC NULLS LAST, article_id) AS place
+  FROM r WHERE num IS NOT NULL AND document_id IS NOT NULL
+)
+SELECT document_id, num AS number, article_id FROM w WHERE versions > 1 AND place = 1
 """,
     "p4_found": """
 SELECT d.file_name, a.article_id FROM articles a LEFT JOIN documents d ON d.doc_id = a.document_id WHERE length(a.text) > 3000

@@ -13,6 +13,7 @@ from raqim.llm.leaks import find_leaks
 from raqim.llm.moderation import severity
 from raqim.llm.scans import repair
 from raqim.llm.splitting import split_texts
+from raqim.llm.survivors import article_number, best_version
 from raqim.llm.tokens import encode, read_ranks
 from raqim.sources.tables import table
 
@@ -71,6 +72,23 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split_texts(table(spark, directory, "articles", "article_id", "text"))
 
 
+def _versions(spark: SparkSession, directory: str, policy: str) -> DataFrame:
+    articles = table(spark, directory, "articles", "article_id", "document_id", "number", "text", "import_source", "imported_at")
+    sources = table(spark, directory, "import_sources", "source_name", "trust_rank")
+    # the list of sources is a dimension of a few rows; Spark broadcasts it by its size
+    ranked = articles.join(sources, F.col("import_source") == F.col("source_name"), "left")
+    return best_version(ranked, {"document_id": F.col("document_id"), "number": article_number(F.col("number"))}, order=(F.col("trust_rank"), -F.unix_micros(F.col("imported_at").cast("timestamp"))), policy=policy)
+
+
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _versions(spark, directory, "trust").select("document_id", "number", "article_id")
+
+
+def p7_consensus(spark: SparkSession, directory: str) -> DataFrame:
+    """The version nearest what most copies agree on, whatever their source."""
+    return _versions(spark, directory, "votes")
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode(table(spark, directory, "documents", "doc_id", "text"), read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
 
@@ -122,6 +140,8 @@ QUERIES = {
     "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p7_found": p7_found,
+    "p7_consensus": p7_consensus,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
