@@ -1 +1,11 @@
-"""raqim: Spark-native analytics for semi-structured legal text."""
+"""raqim: Spark-native analytics for semi-structured legal text.
+
+Functions of the library that run in Python workers are sent by value, so executors need
+no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
