@@ -11,6 +11,7 @@ from raqim.llm.confusables import changed_values, unify
 from raqim.llm.layout_duplicates import layout_groups
 from raqim.llm.leaks import find_leaks
 from raqim.llm.moderation import severity
+from raqim.llm.names import link_names, linked_pairs
 from raqim.llm.scans import repair
 from raqim.llm.splitting import split_texts
 from raqim.llm.survivors import article_number, best_version
@@ -72,6 +73,22 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split_texts(table(spark, directory, "articles", "article_id", "text"))
 
 
+PERSONS = ("PERSON", "JUDGE", "LAWYER", "COURT_CLERK")
+
+
+def _linked(spark: SparkSession, directory: str) -> DataFrame:
+    return link_names(table(spark, directory, "entities", "global_id", "type", "text", "normalized"), PERSONS, ("AGENCY",))
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return linked_pairs(_linked(spark, directory))
+
+
+def p5_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """Every id with the entity that it means."""
+    return _linked(spark, directory)
+
+
 def _versions(spark: SparkSession, directory: str, policy: str) -> DataFrame:
     articles = table(spark, directory, "articles", "article_id", "document_id", "number", "text", "import_source", "imported_at")
     sources = table(spark, directory, "import_sources", "source_name", "trust_rank")
@@ -140,6 +157,8 @@ QUERIES = {
     "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p7_found": p7_found,
     "p7_consensus": p7_consensus,
     "p8_ids": p8_ids,

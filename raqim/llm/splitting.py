@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,8 +53,6 @@ def _cut(text: str, places: list[list[int]], a: int, b: int) -> int:
 
 
 def _joined(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.combining(c) > 0 or c in "\u200d\ufe0f"
 
 
