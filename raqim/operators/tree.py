@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raqim.functions.numbers import drop_stray_digit
 from raqim.functions.vocabulary import RANK
+from raqim.operators.lineage import cut
 
 #: Deepest trees taken; the ranks allow six levels, raw replies a few more.
 MOST_LEVELS = 12
@@ -162,7 +164,7 @@ def fill_missing(df: DataFrame, kind: Column, most: int = 1000) -> DataFrame:
     rows = rows.where(kind).withColumn("start", start).where("n > start + 1")
     wide = F.col("n") - F.col("start") - 1 > most
     gaps = F.when(wide, F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.col("start") + 1, F.greatest(F.col("n") - 1, F.col("start") + 1)))
-    return rows.select("doc", "parent_pos", F.col("p").alias("after_pos"), "type", F.explode(gaps).cast("string").alias("number"))
+    return rows.select("doc", "parent_pos", F.col("p").alias("after_pos"), "type", F.explode(gaps).alias("number")).withColumn("number", F.col("number").cast("string"))
 
 
 def drop_empty(df: DataFrame, article: str = "مادة") -> DataFrame:
@@ -194,13 +196,13 @@ def post_process(df: DataFrame, profile: str = "pipeline") -> DataFrame:
 
     ``ui`` leaves out the digit repair and the pruning.
     """
-    from raqim.functions.numbers import drop_stray_digit
-
-    out = flatten_articles(with_depth(df))
+    levels = len(RANK) + 2
+    # each stage is written once: the joins of the next one read it several times
+    out = flatten_articles(with_depth(cut(df), levels), levels=levels)
     if profile != "ui":
         out = out.withColumn("number", drop_stray_digit(F.col("number")))
-    out = merge_duplicates(with_depth(out.drop("depth")))
+    out = cut(merge_duplicates(with_depth(cut(out.drop("depth")), levels), levels=levels))
     kept = monotone_articles(out).select("doc", "pos", F.col("text").alias("_text"), F.lit(True).alias("_kept"))
     out = out.join(kept, ["doc", "pos"], "left").where((F.col("type") != "مادة") | F.col("_kept")).withColumn("text", F.coalesce("_text", "text")).drop("_text", "_kept")
-    out = with_depth(attach_strays(out).drop("depth"))
-    return prune_structure(out) if profile != "ui" else out
+    out = with_depth(cut(attach_strays(out).drop("depth")), levels)
+    return prune_structure(out, levels=levels) if profile != "ui" else out
