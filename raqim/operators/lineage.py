@@ -5,27 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as written to and read from the shared folder named by ``spark.checkpoint.dir``.
-
-    A parquet table takes far less disk than a checkpoint of rows, and later scans of it
-    read only the columns they need.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session. Only where none is set and the master is
-    local (tests) a folder of its own is made; on a cluster without the setting this
-    raises, because a folder of one machine would not survive a lost executor.
+    Only where none is set and the master is local (tests) a folder of its own is made; on a
+    cluster without the setting this raises, because a folder of one machine would not
+    survive a lost executor.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="raqim-checkpoint-")
         sc.setCheckpointDir(folder)
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as written to and read from the shared folder.
+
+    A parquet table takes far less disk than a checkpoint of rows, and later scans of it
+    read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,20 +35,27 @@ def article_hits(requests: DataFrame, documents: DataFrame, articles: DataFrame,
 def article_cascade(requests: DataFrame, documents: DataFrame, articles: DataFrame, limit: int = 5) -> DataFrame:
     """The first stage that finds anything: law number, law in a title or file name, number alone.
 
-    Stages are one join on the article number with the least stage kept, instead of one
-    query after another. Only the best ``limit`` of each stage leave a number's group.
+    Each stage only sees the requests that the ones before left over. The first is an equal
+    join on number and law; the last meets the best ``limit`` articles of a number, ranked
+    once a number and not once a request; only the second, on substrings, tests all articles
+    of the number.
     """
     asked = requests.select("req_id", "law", canonical_num(F.col("article")).alias("number")).where("number IS NOT NULL")
     held = documents.select(F.col("doc_id").alias("document_id"), "doc_number", "law_number", "short_title", "file_name")
     found = articles.select("document_id", "article_id", canonical_num(F.col("number")).alias("number")).where("number IS NOT NULL").join(held, "document_id")
-    by_law = (F.col("doc_number") == F.col("law")) | (F.col("law_number") == F.col("law"))
-    by_title = F.col("short_title").contains(F.col("law")) | F.col("file_name").contains(F.col("law"))
-    stage = F.when(F.coalesce(by_law, F.lit(False)), 1).when(F.coalesce(by_title, F.lit(False)), 2).otherwise(4)
-    hits = asked.join(found, "number").withColumn("stage", stage)
-    order = Window.partitionBy("req_id").orderBy("stage", F.col("doc_number").asc_nulls_last(), "document_id", "article_id")
-    least = F.min("stage").over(Window.partitionBy("req_id"))
-    kept = hits.withColumn("least", least).where("stage = least").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return kept.select("req_id", "place", F.col("document_id").alias("doc_id"), "article_id", "stage")
+    columns = ["req_id", "document_id", "article_id", "doc_number"]
+    keyed = found.withColumn("law", F.explode(F.array_distinct(F.array("doc_number", "law_number")))).where("law IS NOT NULL")
+    first = asked.join(keyed, ["number", "law"]).select(*columns, F.lit(1).alias("stage"))
+    left = asked.join(first.select("req_id"), "req_id", "left_anti")
+    in_title = F.col("short_title").contains(F.col("law")) | F.col("file_name").contains(F.col("law"))
+    second = left.join(found, "number").where(in_title).select(*columns, F.lit(2).alias("stage"))
+    left = left.join(second.select("req_id"), "req_id", "left_anti")
+    by_number = Window.partitionBy("number").orderBy(F.col("doc_number").asc_nulls_last(), "document_id", "article_id")
+    best = found.withColumn("r", F.row_number().over(by_number)).where(F.col("r") <= limit)
+    last = left.join(best, "number").select(*columns, F.lit(4).alias("stage"))
+    order = Window.partitionBy("req_id").orderBy(F.col("doc_number").asc_nulls_last(), "document_id", "article_id")
+    placed = first.unionByName(second).unionByName(last).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return placed.select("req_id", "place", F.col("document_id").alias("doc_id"), "article_id", "stage")
 
 
 def documents_with(documents: DataFrame, entities: DataFrame, limit: int = 100) -> DataFrame:

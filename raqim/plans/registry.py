@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raqim.plans import nested_queries, text_queries, tree_queries
+from raqim.plans import nested_queries, store_queries, text_queries, tree_queries
 
-MODULES = (text_queries, tree_queries, nested_queries)
+MODULES = (store_queries, text_queries, tree_queries, nested_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
