@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Plans of statements that change nothing begin with none of these.
-_WRITES = ("Command", "InsertInto", "CreateTable", "DropTable", "SetCatalog", "UseCatalog", "Insert", "Delete", "Update", "Merge", "Overwrite", "Append", "Replace", "Alter", "Truncate", "Cache", "Uncache", "Analyze", "AddJar", "AddFile")
+#: What a statement that is no query parses to.
+_WRITES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 
 
 def query(spark: SparkSession, sql: str, **arguments: object) -> DataFrame:
     """The result of ``sql`` with named parameters; anything but a query raises before it runs."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names = [plan.nodeName(), *[plan.children().apply(i).nodeName() for i in range(plan.children().size())]]
-    if any(n.startswith(w) or n.endswith("Command") for n in names for w in _WRITES):
-        raise ValueError(f"only queries are allowed, not {names[0]}")
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    if any(loader.loadClass(name).isInstance(plan) for name in _WRITES):
+        raise ValueError(f"only queries are allowed, not {plan.nodeName()}")
     return spark.sql(sql, args=arguments or None)
 
 

@@ -138,8 +138,13 @@ def attach_strays(df: DataFrame, article: str = "مادة") -> DataFrame:
     return out.withColumn("parent_pos", moved).drop("_rank", "_least", "_head", "_on", "_last")
 
 
+def rank_of(kind: Column) -> Column:
+    """The rank of a structural type; NULL for others, which stand at the top and are nobody's parent."""
+    return F.coalesce(*[F.when(kind == t, r) for t, r in RANK.items()])
+
+
 def _rank(kind: Column) -> Column:
-    return F.coalesce(*[F.when(kind == t, r) for t, r in RANK.items()], F.lit(0))
+    return F.coalesce(rank_of(kind), F.lit(0))
 
 
 def sort_children(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def nodes(spark: SparkSession, d: str, unknown: bool = False) -> DataFrame:
 
 
 def _built(spark: SparkSession, d: str, unknown: bool = False) -> DataFrame:
-    return tree.build_hierarchy(nodes(spark, d, unknown), tree._rank(F.col("type")))
+    return tree.build_hierarchy(nodes(spark, d, unknown), tree.rank_of(F.col("type")))
 
 
 def hierarchy_parent(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def drop_empty_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annex_texts(spark: SparkSession, d: str) -> DataFrame:
-    built = tree.build_hierarchy(nodes(spark, d, True).withColumn("title", F.lit(None).cast("string")), tree._rank(F.col("type")))
+    built = tree.build_hierarchy(nodes(spark, d, True).withColumn("title", F.lit(None).cast("string")), tree.rank_of(F.col("type")))
     return tree.annexes(tree.with_depth(built, 6), levels=6)
 
 
@@ -120,7 +120,7 @@ QUERIES = {
 }
 
 _KIND = "(['قسم', 'باب', 'جزء', 'فصل', 'فرع', 'مادة'])[entity_id * 13 % 101 % 6 + 1]"
-_RANK = "CASE type " + " ".join(f"WHEN '{t}' THEN {r}" for t, r in RANK.items()) + " ELSE 0 END"
+_RANK = "CASE type " + " ".join(f"WHEN '{t}' THEN {r}" for t, r in RANK.items()) + " END"
 
 
 def _nodes(unknown: bool = False) -> str:
