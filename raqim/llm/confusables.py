@@ -77,7 +77,7 @@ def unify(df: DataFrame, columns: tuple[str, ...], key: str = "entity_id") -> Da
         for b in batches:
             if b.num_rows:
                 con.register("batch", pa.Table.from_batches([b]))
-                yield from con.execute(query, {"keys": list(forms), "values": list(forms.values())}).to_arrow_table().to_batches()
+                yield from con.sql(query, params={"keys": list(forms), "values": list(forms.values())}).to_arrow_table().to_batches()
         con.close()
 
     return narrow.mapInArrow(run, schema).withColumnRenamed("k", key)
