@@ -64,7 +64,7 @@ def canonical_type(kind: Column, only_known: bool = True) -> Column:
 
 def clean_ocr_lines(text: Column, footnotes: bool = True) -> Column:
     """Without header lines and page-number lines, and without ``12 - ..`` footnotes; other lines as they are."""
-    page = r"^-?\s*\d+\s*-?$"
+    page = r"^-?\s*\d+\s*-?$"  # fixed value
 
     def kept(line: Column) -> Column:
         s = strip(line)

@@ -13,6 +13,7 @@ from raqim.functions.numbers import ascii_digits, canonical_num, found, law_numb
 from raqim.functions.text import entity_id, normalize_arabic, parse_date
 from raqim.functions.vocabulary import NAME_TYPES
 
+#: The pattern of a law with its number.
 _LAW = r"(الظهير الشريف|القانون التنظيمي|القانون|الدستور|المرسوم|مرسوم|القرار|قرار)\s*(?:رقم\s*)?(\d+(?:[./]+\d+)*)"
 LAW_TYPES = ("LAW", "DECRET", "DAHIR", "CONSTITUTION")
 
@@ -103,6 +104,7 @@ def global_ids(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return rows.select("document_id", "ord", made.alias("global_id"))
 
 
+#: The patterns of ranges and lists of articles.
 _RANGE = re.compile(r"من\s+(?:الفصل\s+)?([0-9٠-٩]+)\s+(?:إ?لى|الى)\s+(?:الفصل\s+)?([0-9٠-٩]+)")
 _LIST = re.compile(r"(?:الفصلين|الفصول)\s*:?[\s ]*((?:[0-9٠-٩]+(?:\s*[،,]\s*|\s*و\s*))*[0-9٠-٩]+)")
 _NUMBER = re.compile("[0-9٠-٩]+")
