@@ -174,3 +174,41 @@ def merge_chunks(entities: DataFrame, relations: DataFrame, offsets: DataFrame)
     for end in ("source_id", "target_id"):
         relations = relations.join(ids.select("document_id", "chunk", F.col("ent_id").alias(end), F.col("to").alias("_to")), ["document_id", "chunk", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return moved, relations
+
+
+def postprocess(documents: DataFrame, entities: DataFrame, relations: DataFrame, parity: bool = True, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Mentions and relations as they are stored: expanded, placed, without those inside dates or references,
+    normalised, numbered, with global ids.
+
+    ``parity`` drops an article inside a reference together with its relations, so that of an
+    expanded range only the inner numbers stay; otherwise expanded articles are kept, and
+    relations to dropped ones go.
+    """
+    from raqim.operators.lineage import cut
+    from raqim.operators.spans import articles_outside_dates, articles_outside_refs, fix_offsets
+
+    columns = ["document_id", "ent_id", "type", "text", "start_char", "end_char", "normalized"]
+    more, links = expand_articles(documents, entities, most)
+    bodies = documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("_body"))
+    read = F.when(F.col("start_char") >= 0, F.substring("_body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).otherwise(F.regexp_extract("ent_id", r"(\d+)_\d+$", 1))
+    more = more.join(bodies, "document_id").withColumn("text", read)
+    after = Window.partitionBy("document_id").orderBy("added", "ord", "start_char", "ent_id")
+    both = entities.select(*columns, "ord", F.lit(0).alias("added")).unionByName(more.select(*columns, F.lit(0).alias("ord"), F.when(F.col("type") == "INTERNAL_REF", 1).otherwise(2).alias("added")))
+    both = cut(both.withColumn("ord", F.row_number().over(after)))
+    placed = fix_offsets(both, documents).withColumnsRenamed({"start_char": "_a", "end_char": "_b"})
+    both = both.join(placed, ["document_id", "ord"], "left").withColumn("start_char", F.coalesce("_a", "start_char")).withColumn("end_char", F.coalesce("_b", "end_char")).drop("_a", "_b")
+    names = ["document_id", "relation_id", "type", "source_id", "target_id"]
+    first = Window.partitionBy("document_id").orderBy("added", "ord", "relation_id")
+    told = relations.select(*names, "ord", F.lit(0).alias("added")).unionByName(links.select(*names, F.lit(0).alias("ord"), F.lit(1).alias("added")))
+    told = told.withColumn("ord", F.row_number().over(first)).drop("added")
+    both = articles_outside_dates(cut(both))
+    if parity:
+        both, told = articles_outside_refs(both, told)
+    else:
+        kept, told = articles_outside_refs(both.where("added <> 2"), told)
+        both = kept.unionByName(both.where("added = 2"))
+    both = cut(both.drop("added").withColumn("normalized", normal_form(F.col("type"), F.col("text"), F.col("normalized"))))
+    told = cut(told)
+    ids = global_ids(both, told)
+    numbered, told = numeric_ids(both, told)
+    return numbered.join(ids, ["document_id", "ord"], "left"), told

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from raqim.functions.vocabulary import RELATION_LABELS
 from raqim.operators.lineage import shared_folder
-from raqim.operators import graph, mentions, references, spans, sql, store
+from raqim.operators import documents, graph, mentions, references, spans, sql, store
 from raqim.plans.text_queries import _canonical_sql
 from raqim.sources.tables import table
 
@@ -198,7 +198,26 @@ def stream_import(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name)
 
 
+def postprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain after extraction over all documents and their mentions."""
+    out, _ = mentions.postprocess(table(spark, d, "documents", "doc_id", "text"), _entities(spark, d), _relations(spark, d))
+    return out.select("document_id", "ord", "new_id", "type", "start_char", "end_char", "normalized", "global_id")
+
+
+def leaf_texts(spark: SparkSession, d: str) -> DataFrame:
+    return documents.json_leaf_text(table(spark, d, "structure_records", "record_id", "payload"))
+
+
+def document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of a document by type as sections of sentences."""
+    rows = table(spark, d, "entities", "document_id", "entity_id", "type", "text").where("text IS NOT NULL")
+    held = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("entity_id", "text")))), lambda x: x["text"])
+    made = rows.groupBy("document_id").agg(held("LAW").alias("laws"), held("DATE").alias("dates"))
+    return documents.sections(made, "document_id", ("laws", "dates"))
+
+
 QUERIES = {
+    "postprocess": postprocessed, "json_leaf_text": leaf_texts, "decision_sections": document_sections,
     "article_hits_by_law": article_hits_by_law, "article_hits_cascade": article_hits_cascade, "docs_by_entity": docs_by_entity, "docs_by_person": docs_by_person, "judged_by_like": judged_by_like,
     "docs_per_type": docs_per_type, "table_counts": table_counts, "law_articles": law_articles, "global_ids": global_ids, "normal_forms": normal_forms, "article_normals": article_normals,
     "assign_numeric_ids": assign_numeric_ids, "expand_references": expanded_references, "articles_outside_dates": articles_outside_dates, "articles_outside_refs": articles_outside_refs,
@@ -219,6 +238,9 @@ _LAWNO = rf"""coalesce({_canonical_sql(r"nullif(regexp_extract(translate(text, '
  {_canonical_sql(r"regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '\d+(?:[./]+\d+)*')[1]")})"""
 
 SQL = {
+    "decision_sections": """
+SELECT document_id, CASE type WHEN 'LAW' THEN 'laws' ELSE 'dates' END AS section, CAST(row_number() OVER (PARTITION BY document_id, type ORDER BY entity_id) - 1 AS INT) AS idx, text
+FROM entities WHERE type IN ('LAW', 'DATE') AND text IS NOT NULL""",
     "article_hits_by_law": f"""
 WITH {_REQ}, one AS (SELECT doc_number AS law, min(doc_id) AS law_doc FROM documents WHERE doc_number IS NOT NULL GROUP BY 1),
 first AS (SELECT req_id, document_id, article_id, 1 AS stage, NULL AS doc_number FROM requests q JOIN one USING (law) JOIN found f ON f.number = q.number AND f.document_id = law_doc),
