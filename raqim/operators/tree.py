@@ -45,13 +45,40 @@ def compact_rank(rank: Column, doc: str = "doc") -> Column:
 
 
 def with_ancestors(df: DataFrame, levels: int = MOST_LEVELS, *columns: str) -> DataFrame:
-    """``ancestors``: array of (pos, columns..) from the top down, by ``depth`` (0 at the top)."""
+    """``ancestors``: array of (pos, columns..) from the top down, by ``depth`` (0 at the top).
+
+    Subtrees must be contiguous in ``pos``, as ``renumber`` makes them where nodes of unknown
+    type stand between the parts of a tree.
+    """
     held = F.struct("pos", *columns)
     last = [F.last(F.when(F.col("depth") == d, held), ignorenulls=True).over(_before()).alias(f"_a{d}") for d in range(levels)]
     chain = F.slice(F.array(*[F.col(f"_a{d}") for d in range(levels)]), F.lit(1), F.col("depth"))
     return df.select("*", *last).withColumn("ancestors", chain).drop(*[f"_a{d}" for d in range(levels)])
 
 
+def with_chain(df: DataFrame, levels: int = MOST_LEVELS, *columns: str) -> DataFrame:
+    """``ancestors`` as in ``with_ancestors``, by joins on the parent.
+
+    For trees whose subtrees are not contiguous in ``pos``: nodes of unknown type at the top
+    stand between the parts of others, and merged nodes have children from several places.
+    """
+    up = F.when(F.col("parent_pos") >= 0, F.col("parent_pos"))
+    held = df.select("doc", F.col("pos").alias("_up"), up.alias("_next"), F.struct("pos", *columns).alias("_held"))
+    chain = df.select("doc", "pos", up.alias("_up"), F.array().cast(f"array<{held.schema['_held'].dataType.simpleString()}>").alias("ancestors"))
+    for _ in range(levels - 1):
+        chain = chain.join(held, ["doc", "_up"], "left").select("doc", "pos", F.col("_next").alias("_up"), F.when(F.col("_held").isNull(), F.col("ancestors")).otherwise(F.concat(F.array("_held"), "ancestors")).alias("ancestors"))
+    return df.join(chain.select("doc", "pos", "ancestors"), ["doc", "pos"])
+
+
+def renumber(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+    """``pos`` and ``parent_pos`` from 0 in the order of the tree, children by their old places."""
+    way = F.concat(F.transform("ancestors", lambda a: a["pos"]), F.array("pos"))
+    placed = with_chain(df, levels).withColumn("_new", F.row_number().over(Window.partitionBy("doc").orderBy(way)) - 1).drop("ancestors")
+    parents = placed.select("doc", F.col("pos").alias("parent_pos"), F.col("_new").alias("_parent"))
+    out = placed.join(parents, ["doc", "parent_pos"], "left").withColumn("pos", F.col("_new")).withColumn("parent_pos", F.col("_parent"))
+    return out.select(*df.columns)
+
+
 def with_depth(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     """``depth`` of each node from its ``parent_pos``: the parents of each level are joined once.
 
@@ -180,7 +207,7 @@ def drop_empty(df: DataFrame, article: str = "مادة") -> DataFrame:
 
 def annexes(df: DataFrame, known: tuple[str, ...] = tuple(RANK), levels: int = MOST_LEVELS) -> DataFrame:
     """(doc, pos, title, text) of the topmost nodes of unknown type, with all texts below them."""
-    held = with_ancestors(df.withColumn("_known", F.col("type").isin(*known)), levels, "_known")
+    held = with_chain(df.withColumn("_known", F.col("type").isin(*known)), levels, "_known")
     top = F.filter(F.concat("ancestors", F.array(F.struct("pos", "_known"))), lambda a: ~a["_known"])
     rows = held.withColumn("_top", F.try_element_at(top, F.lit(1))["pos"]).where("_top IS NOT NULL")
     title = F.max(F.when(F.col("pos") == F.col("_top"), F.array_join(F.filter(F.array("type", "number", "title"), lambda x: F.coalesce(x, F.lit("")) != ""), " ")))
@@ -203,10 +230,11 @@ def post_process(df: DataFrame, profile: str = "pipeline") -> DataFrame:
     """
     levels = len(RANK) + 2
     # each stage is written once: the joins of the next one read it several times
-    out = flatten_articles(with_depth(cut(df), levels), levels=levels)
+    out = flatten_articles(with_depth(cut(renumber(cut(df), levels)), levels), levels=levels)
     if profile != "ui":
         out = out.withColumn("number", drop_stray_digit(F.col("number")))
     out = cut(merge_duplicates(with_depth(cut(out.drop("depth")), levels), levels=levels))
+    out = cut(renumber(out, levels))
     kept = monotone_articles(out).select("doc", "pos", F.col("text").alias("_text"), F.lit(True).alias("_kept"))
     out = out.join(kept, ["doc", "pos"], "left").where((F.col("type") != "مادة") | F.col("_kept")).withColumn("text", F.coalesce("_text", "text")).drop("_text", "_kept")
     out = with_depth(cut(attach_strays(out).drop("depth")), levels)

@@ -76,3 +76,10 @@ def test_post_process_and_empty(spark):
     assert sorted((r.type, r.number) for r in got.collect()) == [("قسم", "1"), ("مادة", "1"), ("مادة", "12")]
     empty = built(spark.createDataFrame([], SCHEMA))
     assert tree.post_process(empty).collect() == [] and tree.sort_children(empty).collect() == [] and tree.merge_duplicates(tree.with_depth(empty)).collect() == []
+
+
+def test_renumbering_follows_the_tree(spark):
+    rows = [(1, 0, None, "باب"), (1, 1, None, "فصل"), (1, 2, 1, "مادة"), (1, 3, 0, "مادة"), (2, 5, None, "باب")]
+    df = spark.createDataFrame(rows, "doc bigint, pos int, parent_pos int, type string")
+    got = sorted((r.doc, r.pos, r.parent_pos, r.type) for r in tree.renumber(df, 4).collect())
+    assert got == [(1, 0, None, "باب"), (1, 1, 0, "مادة"), (1, 2, None, "فصل"), (1, 3, 2, "مادة"), (2, 0, None, "باب")]
