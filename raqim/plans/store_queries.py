@@ -266,6 +266,16 @@ WITH t AS (SELECT document_id, {_canonical_sql('number')} AS number, pos, articl
 o AS (SELECT own AS law, number, arg_max(text, (document_id, pos, article_id)) AS text FROM t JOIN k ON doc_id = document_id WHERE own IS NOT NULL AND number IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT alias AS law, number, arg_max(text, (document_id, pos, article_id)) AS text FROM t JOIN k ON doc_id = document_id WHERE own IS NOT NULL AND alias IS NOT NULL AND number IS NOT NULL GROUP BY 1, 2)
 SELECT * FROM o UNION ALL SELECT * FROM a WHERE law NOT IN (SELECT own FROM k WHERE own IS NOT NULL)""",
+    "global_ids": f"""
+WITH {_ENT}, {_REL}, v AS (SELECT document_id, ord, ent_id, type, text, coalesce(nullif(normalized, ''), text) AS value FROM e),
+laws AS (SELECT document_id, ent_id, arg_max(struct_pack(t := type, n := {_canonical_sql('text')}), ord) AS law FROM v WHERE type IN ('LAW', 'DECRET', 'DAHIR', 'CONSTITUTION') GROUP BY 1, 2),
+linked AS (SELECT r.document_id, r.source_id AS ent_id, arg_min(l.law, r.ord) AS law FROM r JOIN laws l ON l.document_id = r.document_id AND l.ent_id = r.target_id GROUP BY 1, 2)
+SELECT v.document_id, CAST(v.ord AS INT) AS ord, CASE
+  WHEN type IN ('LAW', 'DECRET', 'DAHIR', 'CONSTITUTION') THEN type || '_' || coalesce({_LAWNO.replace('text', 'value')}, {_LAWNO})
+  WHEN type = 'ARTICLE' AND k.law.n IS NOT NULL THEN k.law.t || '_' || k.law.n || '_ART_' || {_canonical_sql('value')}
+  WHEN type = 'ARTICLE' THEN 'ART_' || {_canonical_sql('value')}
+  ELSE type || '_' || substr(sha1(value), 1, 8) END AS global_id
+FROM v LEFT JOIN linked k ON k.document_id = v.document_id AND k.ent_id = v.ent_id""",
     "article_normals": rf"""
 WITH t AS (SELECT entity_id, text, regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '\d+') AS ns, {_canonical_sql('text')} AS c FROM entities WHERE type = 'ARTICLE'),
 h AS (SELECT *, CASE WHEN contains(text, 'مادة') OR contains(text, 'مواد') OR contains(text, 'المادتين') THEN 'المادة' WHEN contains(text, 'فصل') OR contains(text, 'فصول') THEN 'الفصل' WHEN contains(text, 'باب') THEN 'الباب' WHEN contains(text, 'قسم') THEN 'القسم' ELSE 'الفصل' END AS head FROM t)
