@@ -171,6 +171,11 @@ pick AS (
     SELECT any_value(number) AS number, min(pos) FILTER (WHERE pos > p.pos) AS later, max(pos) AS latest FROM a WHERE a.doc = p.doc AND a.nth = p.nth + 1 HAVING count(*) > 0) n ON true)
 SELECT p.doc, p.number, p.pos, arg_max(a.text, (length(a.text), a.pos = p.pos, -a.pos)) AS text FROM pick p JOIN a ON a.doc = p.doc AND a.nth = p.nth WHERE p.nth > 0 GROUP BY ALL""",
     "dedup_articles": f"WITH {_nodes()} SELECT doc, number, min(pos) AS pos, arg_max(text, (length(text), -pos)) AS text FROM nodes WHERE type = 'مادة' GROUP BY ALL",
+    "attach_strays": f"""
+WITH {_nodes()}, s AS (SELECT doc, pos, CASE WHEN type <> 'مادة' THEN {_RANK} END AS rank FROM nodes WHERE type <> 'قسم'),
+b AS (SELECT n.doc, n.pos, n.rank, coalesce(bool_or(p.rank < n.rank), false) AS deeper, max(p.pos) FILTER (WHERE p.rank IS NOT NULL) AS last FROM s n LEFT JOIN s p ON p.doc = n.doc AND p.pos < n.pos GROUP BY 1, 2, 3)
+SELECT b.doc, b.pos, CASE WHEN b.rank IS NULL THEN b.last WHEN b.deeper THEN max(h.pos) END AS parent_pos
+FROM b LEFT JOIN b h ON h.doc = b.doc AND h.pos < b.pos AND h.rank IS NOT NULL AND NOT h.deeper GROUP BY b.doc, b.pos, b.rank, b.last, b.deeper""",
     "sort_children": f"""
 WITH {_tree()}, s AS (SELECT *, count(DISTINCT type) OVER (PARTITION BY doc, parent_pos) = 1 AS same FROM tree)
 SELECT doc, pos, CAST(row_number() OVER (PARTITION BY doc, parent_pos ORDER BY CASE WHEN same THEN (TRY_CAST(number AS BIGINT) IS NULL)::INT END, CASE WHEN same THEN TRY_CAST(number AS BIGINT) END, CASE WHEN same THEN number END, pos) - 1 AS INT) AS ord FROM s""",
