@@ -8,8 +8,8 @@
 * Broken words: a letter and a mark at a line end before a letter; a hyphen counts as real
   where the corpus has the compound more often than the joined word.
 * Wrong characters: words are grouped by the skeleton of their glyphs (look-alikes share
-  one); a rare form gives way to the frequent one if that stands beside the same
-  neighbour elsewhere in the corpus.
+  one); a rare form gives way to that frequent one which stands beside the same
+  neighbours most often in the corpus, unless it stands there more often itself.
 * Reflow: SQL windows over the kept lines choose what joins each line to the next.
 
 All counts run over the whole corpus. Defined cases: null, empty and blank texts have no
@@ -144,13 +144,14 @@ def _bigrams(rows: DataFrame) -> DataFrame:
 
 
 def _replacements(bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(suspects, words): rare forms with the frequent form of their skeleton, and all words with counts."""
+    """(suspects, words): rare forms, each with every frequent form of its skeleton, and all words with counts."""
     words = bigrams.groupBy("b").agg(F.sum("n").alias("n")).withColumnRenamed("b", "word")
     real = words.where(F.col("word").rlike(r"\p{L}") & (F.length("word") > 1)).withColumn("bone", skeleton(F.col("word")))
     odd = F.col("word").rlike(r"[0-9|!@]")
-    best = real.where(~odd).groupBy("bone").agg(F.max(F.struct("n", "word")).alias("top"))
+    # a form met once is ODD_RATIO times as frequent as none, so it is no candidate
+    frequent = real.where(~odd & (F.col("n") >= ODD_RATIO)).select("bone", F.col("word").alias("right"), F.col("n").alias("often"))
     ratio = F.when(odd, ODD_RATIO).otherwise(LETTER_RATIO)
-    return real.join(best, "bone").where((F.col("top.n") >= ratio * F.col("n")) & (F.col("top.word") != F.col("word")) & ~F.col("word").endswith("!")).select("word", F.col("top.word").alias("right")), words
+    return real.join(frequent, "bone").where((F.col("often") >= ratio * F.col("n")) & (F.col("right") != F.col("word")) & ~F.col("word").endswith("!")).select("word", "right", "often", odd.alias("odd")), words
 
 
 def _bounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -201,11 +202,19 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     clean = flowed.unionByName(rows.where(F.col("t").isNull() | ~F.col("t").contains("\n")).select("k", "t", zero.alias("hyphen"), zero.alias("header"), zero.alias("page")))
     around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
     met = clean.where("t <> ''").select("k", tokens(F.col("t")).alias("w")).select("k", F.inline(around)).where("b <> ''")
-    met = met.join(_bounded(suspects, "word", "right").withColumnRenamed("word", "b"), "b").select("k", "b", "right", "a", "c").distinct()
+    met = met.join(_bounded(suspects, "word", "right").withColumnRenamed("word", "b"), "b").select("k", "b", "right", "often", "odd", "a", "c").distinct()
     met = cut(met)
-    left = met.select("k", "b", "right", _masked("a").alias("x"), F.col("right").alias("y"))
-    right = met.where("c <> ''").select("k", "b", "right", F.col("right").alias("x"), _masked("c").alias("y"))
-    supported = left.unionByName(right).join(bigrams.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("b", "right")).alias("wrong"))
+    # how often each candidate, and the form itself elsewhere (right is NULL), stands beside the same neighbours
+    itself = F.lit(None).cast("string")
+    forms = met.select("k", "b", "a", "c", "right", F.col("right").alias("as")).unionByName(met.where("NOT odd").select("k", "b", "a", "c", itself.alias("right"), F.col("b").alias("as")).distinct())
+    left = forms.select("k", "b", "a", "c", "right", _masked("a").alias("x"), F.col("as").alias("y"))
+    right = forms.where("c <> ''").select("k", "b", "a", "c", "right", F.col("as").alias("x"), _masked("c").alias("y"))
+    beside = left.unionByName(right).join(bigrams.select(F.col("a").alias("x"), F.col("b").alias("y"), "n"), ["x", "y"]).groupBy("k", "b", "a", "c", "right").agg(F.sum(F.when(F.col("right").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("n"))
+    best = beside.join(met.select("b", "right", "often").distinct(), ["b", "right"], "left")
+    chosen = best.groupBy("k", "b", "a", "c").agg(F.max(F.when(F.col("right").isNotNull(), F.struct("n", "often", "right"))).alias("top"), F.max(F.when(F.col("right").isNull(), F.col("n"))).alias("own"))
+    # a form that its own context supports more is a word of its own
+    chosen = chosen.where(F.col("top.n") >= F.coalesce("own", F.lit(0)))
+    supported = chosen.groupBy("k", "b").agg(F.max("top").alias("top")).groupBy("k").agg(F.collect_set(F.struct("b", F.col("top.right").alias("right"))).alias("wrong"))
     counted = clean.join(supported, "k", "left").withColumn("char", F.coalesce(F.size("wrong"), F.lit(0)).cast("bigint"))
 
     noise = counted.select("k", F.inline(F.array(*[F.struct(F.lit(c).alias("noise"), F.col(c).alias("n")) for c in ("hyphen", "header", "page", "char")]))).where("n > 0")

@@ -100,6 +100,17 @@ def test_scan_repair(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_misread_words_by_context(spark):
+    rows = [(i, "Le conseil publie la pension.") for i in range(40)] + [(100 + i, "Un agent public examine la requête.") for i in range(20)]
+    rows += [(200 + i, "La taxe plus value, puis la cession.") for i in range(3)] + [(300 + i, "Le conseil siège, puis la cession.") for i in range(40)]
+    rows += [(400, "Un agent piiblic examine la requête."), (401, "Le conseil piiblie la pension."), (402, "Une puis value, puis la cession.")]
+    noise, fixed = scans.repair(spark.createDataFrame(rows, "article_id bigint, text string"))
+    texts = {r.article_id: r.text for r in fixed.collect()}
+    assert texts[400] == "Un agent public examine la requête." and texts[401] == "Le conseil publie la pension."
+    assert texts[200] == dict(rows)[200]
+    assert {r.article_id for r in noise.collect()} == {400, 401}
+
+
 def test_severity_on_held_out_documents(spark):
     rng = random.Random(4)
     clean = [f"La commission {a} la requête {b}." for a in ("examine", "publie", "rejette", "suit") for b in ("locale", "tardive", "gagée", "commune")]
