@@ -2,8 +2,8 @@
 
 Spellings are unified, freed of honorifics and parsed into (given, family), or for an
 organisation into its distinctive words, with a vocabulary learned from all names: given
-names are what stands before many different families, generic words what stands beside
-many different others. Spellings that parse alike are one; further links come from
+names are what stands before more different names than it follows, generic words what
+stands beside rarer words often enough. Spellings that parse alike are one; further links come from
 
 * one edit in the family or the given name (``similar``: pigeonhole segments, banded distance),
 * nicknames, learned as forms whose families nearly always hold one certain given name,
@@ -31,8 +31,10 @@ from raqim.llm.confusables import unify
 from raqim.llm.similar import similar_pairs, within
 from raqim.operators.lineage import cut
 
-#: The vocabulary is broadcast; the least number of families doubles until it has no more forms than this.
+#: Given names are broadcast up to so many forms, and joined by a shuffle beyond.
 MOST_FORMS = 100_000
+#: Of what stands beside a generic word, by spellings, at least this share is rarer than it; beside a distinctive word nearly all is more frequent.
+RARER_SHARE = 0.2
 
 #: Forms of address before a name, and marks of legal form.
 HONORIFICS = re.compile(r"^(?:السيدة|السيد|الأستاذة|الأستاذ|المستشارة|المستشار|ذة?\.|Monsieur|Madame|Mademoiselle|Maître|Mlle|Mme|Mr|Me|M\.)\s+(?=\S)", re.I)
@@ -117,12 +119,20 @@ def distinctive(name: str, generic: set[str]) -> str:
     return "".join(own)
 
 
-def _vocabulary(pairs: DataFrame, least: int) -> dict[str, int]:
-    """form -> number of different partners, of forms with ``least`` or more; a bounded dictionary."""
-    counts = cut(pairs.groupBy("form").agg(F.count_distinct("partner").alias("n")).where(F.col("n") >= least))
-    while counts.where(F.col("n") >= least).count() > MOST_FORMS:
-        least *= 2
-    return {r.form: r.n for r in counts.where(F.col("n") >= least).collect()}
+def _leaders(pairs: DataFrame, least: int) -> DataFrame:
+    """(form, n): forms that lead ``least`` partners or more, and more than they end, by partners and then by spellings."""
+    side = lambda lead: F.struct(F.count_distinct(F.when(F.col("lead") == lead, F.col("partner"))).alias("n"), F.count_if(F.col("lead") == lead).alias("spellings"))
+    counts = pairs.groupBy("form").agg(side("1").alias("leads"), side("0").alias("ends"))
+    return counts.where((F.col("leads.n") >= least) & (F.col("leads") > F.col("ends"))).select("form", F.col("leads.n").alias("n"))
+
+
+def _generic(pairs: DataFrame, least: int) -> DataFrame:
+    """(form): words beside ``least`` different others or more, of which enough are rarer than the word."""
+    pairs = cut(pairs.groupBy("form", "partner").agg(F.count("*").alias("spellings")))
+    counts = cut(pairs.groupBy("form").agg(F.count("*").alias("n")))
+    beside = pairs.join(counts.where(F.col("n") >= least), "form").join(counts.select(F.col("form").alias("partner"), F.col("n").alias("other")), "partner")
+    rarer = F.sum(F.when(F.col("other") < F.col("n"), F.col("spellings")).otherwise(0))
+    return beside.groupBy("form").agg((rarer / F.sum("spellings")).alias("share")).where(F.col("share") >= RARER_SHARE).select("form")
 
 
 def _rows(function, schema: str):
@@ -137,7 +147,8 @@ def _rows(function, schema: str):
     return run
 
 
-def _leading(name: str):
+def _ends(name: str):
+    """(form, partner, lead): what may be a given name at either end of a name, with the rest of it."""
     marked = words(bare(name))
     if any(stop for _, stop in marked):  # an abbreviation is no given name
         return
@@ -146,7 +157,19 @@ def _leading(name: str):
         parts = parts[1:]
     for size in (1, 2):
         if len(parts) > size and len(parts[0]) > 1 and parts[size - 1] not in PARTICLES and not (size == 2 and parts[0] in PARTICLES):
-            yield "".join(parts[:size]), "".join(parts[size:])
+            yield "".join(parts[:size]), "".join(parts[size:]), "1"
+        if len(parts) > size:
+            yield "".join(parts[-size:]), "".join(parts[:-size]), "0"
+
+
+def _asked(name: str):
+    """(name, form): every form that ``parse`` may look up for a name."""
+    parts = [w for w, _ in words(bare(name))]
+    whole = "".join(parts[1:] if len(parts) > 2 and parts[0] in ADDRESS else parts)
+    forms = {"".join(parts[i : i + size]) for size in (1, 2, 3) for i in range(len(parts) - size + 1)}
+    forms |= {x for size in range(4, 25) for x in (whole[:size], whole[-size:])}
+    for form in forms:
+        yield name, form
 
 
 def _beside(name: str):
@@ -182,22 +205,31 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     names = cut(one.groupBy("id", "type", "name").agg(F.sum("n").alias("n")))
     person = F.col("type").isin(*persons)
 
-    pairs = names.where(person).select("name").distinct().mapInArrow(_rows(_leading, "form string, partner string"), "form string, partner string")
-    given = _vocabulary(pairs, least_families)
+    spelled = names.where(person).select("name").distinct()
+    pairs = spelled.mapInArrow(_rows(_ends, "form string, partner string, lead string"), "form string, partner string, lead string")
+    leaders = cut(_leaders(pairs, least_families))
+    small = leaders.count() <= MOST_FORMS
+    given = {r.form for r in leaders.collect()} if small else None
     beside = names.where(~person).select("name").distinct().mapInArrow(_rows(_beside, "form string, partner string"), "form string, partner string")
-    generic = set(_vocabulary(beside, 20)) | {fold(w) for w in LEGAL}
+    generic = {r.form for r in _generic(beside, 20).collect()} | {fold(w) for w in LEGAL}
     shared = df.sparkSession.sparkContext.broadcast((given, generic))
 
     read_schema = "id string, type string, name string, kind string, given string, family string"
 
-    def read(id_, type_, name, is_person):
+    def read(id_, type_, name, is_person, known):
         given, generic = shared.value
         if is_person:
-            return [(id_, type_, name, *r) for r in parse(name, given) if r[2]]
+            return [(id_, type_, name, *r) for r in parse(name, set(known or ()) if given is None else given) if r[2]]
         own = distinctive(name, generic)
         return [(id_, type_, name, "full", "", own)] if own else [(id_, type_, name, "open", "", fold(name))]
 
-    parsed = names.select("id", "type", "name", person.alias("p")).mapInArrow(_rows(read, read_schema), read_schema)
+    raw = names.select("id", "type", "name", person.alias("p"))
+    if small:
+        raw = raw.withColumn("known", F.lit(None).cast("array<string>"))
+    else:
+        asked = spelled.mapInArrow(_rows(_asked, "name string, form string"), "name string, form string")
+        raw = raw.join(asked.join(leaders, "form").groupBy("name").agg(F.collect_set("form").alias("known")), "name", "left").select("id", "type", "name", "p", "known")
+    parsed = raw.mapInArrow(_rows(read, read_schema), read_schema)
     parsed = cut(parsed.join(names, ["id", "type", "name"]))
     full = parsed.where("kind = 'full'").groupBy("type", "given", "family").agg(F.sum("n").alias("weight"))
     full = cut(full.withColumn("node", F.concat_ws("\t", "type", "given", "family")))
@@ -205,18 +237,18 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
 
     # one edit in the family of the same given name, one edit in the given name of the same family
     family_edges = similar_pairs(full, ("type", "given"), "family", 5).select(node("given", "value").alias("a"), node("given", "other").alias("b"))
-    common = max(given.values(), default=0) / 5
-    often = F.create_map(*[x for g, n in given.items() if n >= common for x in (F.lit(g), F.lit(True))]) if given else None
+    # two common given names are no spellings of each other
+    common = leaders.where(F.col("n") >= (leaders.agg(F.max("n")).first()[0] or 0) / 5).select("form")
     given_pairs = similar_pairs(full.where("given <> ''"), ("type", "family"), "given")
-    if often is not None:
-        given_pairs = given_pairs.where(often[F.col("value")].isNull() | often[F.col("other")].isNull())
+    both_common = common.select(F.col("form").alias("value"), F.lit(True).alias("v")), common.select(F.col("form").alias("other"), F.lit(True).alias("o"))
+    given_pairs = given_pairs.join(both_common[0], "value", "left").join(both_common[1], "other", "left").where("v IS NULL OR o IS NULL")
     given_edges = given_pairs.select(node("value", "family").alias("a"), node("other", "family").alias("b"))
 
     # nicknames: forms whose families nearly always hold one certain, more frequent given name
     forms = full.where("given <> ''").groupBy("given").agg(F.count("*").alias("families"))
     rare = full.join(forms, "given").select("type", "family", F.col("given").alias("nick"), F.col("families").alias("fn"))
     # only common given names are meant by nicknames, so a family of many names makes few pairs
-    usual = full if often is None else full.where(often[F.col("given")])
+    usual = full.join(common, full["given"] == common["form"], "left_semi")
     usual = usual.join(forms, "given").select("type", "family", F.col("given").alias("proper"), F.col("families").alias("fp"))
     together = rare.join(usual, ["type", "family"]).where("fp >= 2 * fn").groupBy("nick", "proper", "fn").agg(F.count("*").alias("both"))
     alias = together.where((F.col("both") >= alias_share * F.col("fn")) & (F.col("both") >= 3)).groupBy("nick").agg(F.max_by("proper", "both").alias("proper"))

@@ -52,3 +52,25 @@ def test_variants_are_linked(spark):
     assert len(pairs) == 8 * 7 // 2 + len([1 for a, b in pairs if a[0] == "o"]) and all(a < b for a, b in pairs)
     assert "n1" not in entity and "n3" not in entity
     assert names.link_names(df.limit(0), ("PERSON",), ("AGENCY",)).count() == 0
+
+
+def test_a_family_written_first_is_no_given_name(spark, monkeypatch):
+    given = ["Khadija", "Mohammed", "Youssef", "Rachid", "Latifa", "Bouchra"]
+    families = ["Depwitxak", "Kodnahkih", "Toupzemqous", "Qihwibbouj", "Fopfisdih", "Vivmemkih", "Rojjedsoh"]
+    rows = [(f"id-{g}-{f}", "PERSON", f"{g} {f}", None) for g in given for f in families]
+    rows += [(f"r-{g}", "PERSON", f"Depwitxak {g}", None) for g in given[:5]]  # five partners, as many as some given names have
+    rows += [("v1", "PERSON", "K. Depwitxak", None), ("v2", "PERSON", "Khdija Depwitxak", None)]
+    df = spark.createDataFrame(rows, ROWS)
+    for most in (names.MOST_FORMS, 2):
+        monkeypatch.setattr(names, "MOST_FORMS", most)
+        entity = {r.global_id: r.entity for r in names.link_names(df, ("PERSON",), ("AGENCY",)).collect()}
+        assert all(entity[f"r-{g}"] == entity[f"id-{g}-Depwitxak"] for g in given[:5])
+        assert entity["v1"] == entity["v2"] == entity["id-Khadija-Depwitxak"]
+
+
+def test_generic_words_by_share(spark):
+    beside = [("travaux", f"own{i}") for i in range(300)] + [("travaux", "societe")] * 300 + [("societe", f"own{i}") for i in range(300)]
+    beside += [("woklakzaj", w) for w in ("societe", "travaux") for _ in range(60)] + [("woklakzaj", f"typo{i}") for i in range(20)]
+    rows = beside + [(b, a) for a, b in beside]
+    got = {r.form for r in names._generic(spark.createDataFrame(rows, "form string, partner string"), 20).collect()}
+    assert got == {"travaux", "societe"}
