@@ -246,12 +246,12 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
 
     # nicknames: forms whose families nearly always hold one certain, more frequent given name
     forms = full.where("given <> ''").groupBy("given").agg(F.count("*").alias("families"))
-    rare = full.join(forms, "given").select("type", "family", F.col("given").alias("nick"), F.col("families").alias("fn"))
-    # only common given names are meant by nicknames, so a family of many names makes few pairs
-    usual = full.join(common, full["given"] == common["form"], "left_semi")
-    usual = usual.join(forms, "given").select("type", "family", F.col("given").alias("proper"), F.col("families").alias("fp"))
-    together = rare.join(usual, ["type", "family"]).where("fp >= 2 * fn").groupBy("nick", "proper", "fn").agg(F.count("*").alias("both"))
-    alias = together.where((F.col("both") >= alias_share * F.col("fn")) & (F.col("both") >= 3)).groupBy("nick").agg(F.max_by("proper", "both").alias("proper"))
+    # 3 shared families and twice as many of the proper name, so rarer forms of either kind make no pairs
+    held = cut(full.join(forms.where("families >= 3"), "given").select("type", "family", "given", "families"))
+    rare = held.select("type", "family", F.col("given").alias("nick"), F.col("families").alias("fn"))
+    usual = held.where("families >= 6").select("type", "family", F.col("given").alias("proper"), F.col("families").alias("fp"))
+    together = rare.join(usual, ["type", "family"]).where("fp >= 2 * fn").groupBy("nick", "proper", "fn", "fp").agg(F.count("*").alias("both"))
+    alias = together.where((F.col("both") >= alias_share * F.col("fn")) & (F.col("both") >= 3)).groupBy("nick").agg(F.max_by("proper", F.struct("both", "fp", "proper")).alias("proper"))
     alias = cut(alias)
     alias_edges = full.join(alias, full["given"] == alias["nick"]).select(F.col("node").alias("a"), node("proper", "family").alias("b"))
     alias_edges = alias_edges.join(full.select(F.col("node").alias("b")), "b", "left_semi")

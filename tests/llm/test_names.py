@@ -74,3 +74,13 @@ def test_generic_words_by_share(spark):
     rows = beside + [(b, a) for a, b in beside]
     got = {r.form for r in names._generic(spark.createDataFrame(rows, "form string, partner string"), 20).collect()}
     assert got == {"travaux", "societe"}
+
+
+def test_nickname_of_a_less_frequent_given_name(spark):
+    made = lambda i: "".join(chr(98 + (i * k + k) % 19) for k in (1, 3, 5, 7, 11, 13, 17))
+    families = list(dict.fromkeys(made(i).capitalize() for i in range(19)))
+    common = [f"Z{'uo'[i % 2]}{chr(98 + i // 19)}{made(i)}" for i in range(60)]
+    rows = [(f"m-{f}", "PERSON", f"Mohammed {f}", None) for f in common]
+    rows += [(f"k-{f}", "PERSON", f"Khadija {f}", None) for f in families[:8]] * 3 + [(f"n-{f}", "PERSON", f"Doudou {f}", None) for f in families[:4]]
+    entity = {r.global_id: r.entity for r in names.link_names(spark.createDataFrame(rows, ROWS), ("PERSON",), ("AGENCY",)).collect()}
+    assert all(entity[f"n-{f}"] == entity[f"k-{f}"] for f in families[:4])
