@@ -1,15 +1,18 @@
 """The best representative of each group of versions, by token-level consensus.
 
-Versions of a group are collapsed to distinct texts with counts, dealt to blocks of about
-``block`` texts by hash, and each block is resolved by itself: its texts are aligned
-progressively into columns of tokens, every column takes the token of greatest weight, and
-the text nearest that consensus is the block's representative. Representatives of blocks
-meet in further rounds until each group has one; no task ever holds more than a block.
+Versions of a group are collapsed to distinct texts with counts; tokens are aligned into
+columns, every column takes the token of greatest weight, and the text nearest that
+consensus represents the group. Weights say what "best" means.
 
-Weights say what "best" means. ``trust`` gives each text more weight than all those after
-it together (most trusted source, latest, smallest key), so that the consensus is led by
-the first usable one and others only fill columns it leaves even; ``votes`` weighs a text
-by its number of copies.
+``trust`` gives each text more weight than all those after it together (most trusted
+source, latest, smallest key), so that the consensus is led by the first usable one and
+others only fill columns it leaves even. Texts are dealt to blocks of about ``block`` by
+hash, aligned progressively there, and the representatives of blocks meet in further
+rounds; no task ever holds more than a block, and the first text survives all rounds.
+
+``votes`` weighs a text by its number of copies. Each text is aligned by itself to the
+usable one with most copies; only where they differ it casts votes, which are summed by
+column over the whole group. No task holds a group, and its size does not change the result.
 
 Defined cases: rows without a group value are left out; a usable text is one with letters
 that is no filler and ends a sentence; where no text of a group is usable all take part;
@@ -89,6 +92,63 @@ def nearest(texts: list[str], weights: list[float]) -> int:
     return min(range(len(texts)), key=lambda i: (distance(texts[i].split(), agreed), i))
 
 
+def differences(base: list[str], tokens: list[str]) -> list[tuple[int, int, str]]:
+    """(at, further, token) where ``tokens`` differ from ``base``: the place of the base, or one of those inserted after it."""
+    out = []
+    for tag, a, b, c, d in SequenceMatcher(None, base, tokens, autojunk=False).get_opcodes():
+        if tag != "equal":
+            for k in range(max(b - a, d - c)):
+                at, further = (a + k, 0) if a + k < b else (b - 1, 1 + k - (b - a))
+                out.append((at, further, tokens[c + k] if c + k < d else ""))
+    return out
+
+
+def edited(base: list[str], edits: list[tuple[int, int, str]]) -> list[str]:
+    """``base`` with the tokens of ``edits`` in their places."""
+    places = {(i, 0): t for i, t in enumerate(base)} | {(i, j): t for i, j, t in edits}
+    return [places[k] for k in sorted(places) if places[k]]
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_columns - 3
+        rows = [(r, copies, *e) for r, (base, text, copies) in enumerate(zip(*(batch.column(n + i).to_pylist() for i in range(3)))) for e in differences((base or "").split(), (text or "").split())]
+        votes = [pa.array([x[i] for x in rows], kind) for i, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.string()), (1, pa.int64()))]
+        at = pa.array([x[0] for x in rows], pa.int32())
+        yield pa.record_batch([*(batch.column(i).take(at) for i in range(n)), *votes], [*batch.schema.names[:n], "at", "further", "token", "copies"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bases, texts, edits = (batch.column(batch.num_columns - 3 + i).to_pylist() for i in range(3))
+        far = [distance((t or "").split(), edited((b or "").split(), [(e["at"], e["further"], e["token"]) for e in x or ()])) for b, t, x in zip(bases, texts, edits)]
+        kept = range(batch.num_columns - 3)
+        yield pa.record_batch([*(batch.column(i) for i in kept), batch.column(batch.num_columns - 2), pa.array(far, pa.float64())], [*(batch.schema.names[i] for i in kept), "text", "far"])
+
+
+def _schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _voted(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(names, row) of the text of each group nearest what most copies agree on."""
+    texts = cut(texts.select(*names, "text", F.col("first.late").alias("late"), F.col("first.id").alias("id"), "copies", F.col("first.late")[0].alias("use")))
+    order = F.struct("use", (-F.col("copies")).alias("fewer"), "late", "id")
+    held = texts.groupBy(*names).agg(F.min("use").alias("_use"), F.min_by("text", order).alias("base"), F.sum(F.when(F.col("use") == 0, F.col("copies"))).alias("good"), F.sum("copies").alias("versions"))
+    held = cut(held.withColumn("total", F.coalesce("good", "versions")))
+    voting = cut(texts.join(held.select(*names, "_use", "base"), names).where(F.col("use") == F.col("_use")))  # the usable ones, or all
+    other = voting.where(~F.col("text").eqNullSafe(F.col("base"))).select(*names, "base", "text", "copies")
+    votes = other.mapInArrow(_differ, f"{_schema(other, names)}, at int, further int, token string, copies bigint")
+    counted = votes.groupBy(*names, "at", "further", "token").agg(F.sum("copies").alias("n")).groupBy(*names, "at", "further").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
+    # what does not differ there votes for the base
+    won = counted.join(held.select(*names, "total"), names).where(F.col("top.n") > F.col("total") - F.col("all"))
+    edits = won.groupBy(*names).agg(F.collect_list(F.struct("at", "further", F.col("top.token").alias("token"))).alias("edits"))
+    asked = voting.join(cut(edits), names, "left").select(*names, "late", "id", "copies", "base", "text", "edits")
+    far = asked.mapInArrow(_measure, f"{_schema(asked, [*names, 'late', 'id', 'copies'])}, text string, far double")
+    best = far.groupBy(*names).agg(F.min_by(F.struct("id", "text"), F.struct("far", (-F.col("copies")).alias("fewer"), "late", "id")).alias("best"))
+    return best.join(held.select(*names, "versions"), names).select(*names, F.struct(F.col("best.id").alias("id"), F.col("best.text").alias("text"), F.col("versions").alias("copies")).alias("row"))
+
+
 def _resolve(batches: Iterator[pa.RecordBatch], policy: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chosen = []
@@ -117,6 +177,9 @@ def best_version(df: DataFrame, group: dict[str, Column], key: str = "article_id
     size = several.agg(F.sum(sum((F.length(F.col(n).cast("string")) for n in names), F.lit(8))), F.max("versions")).first()
     # only rows of groups with several move; the groups are broadcast if proven small
     rows = rows.join(F.broadcast(several) if (size[0] or 0) <= GROUP_CHARS else several, names)
+    if policy == "votes":
+        texts = rows.groupBy(*names, F.col("t").alias("text")).agg(F.min(F.struct("late", "id")).alias("first"), F.count("*").alias("copies"))
+        return _voted(texts, names).select(*names, F.col("row.id").alias(key), F.col("row.text").alias(text), F.col("row.copies").alias("versions"))
     blocks = F.ceil(F.col("versions") / block)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("t"), blocks))
     texts = rows.groupBy(*names, "part", F.col("t").alias("text")).agg(F.min(F.struct("late", "id")).alias("first"), F.count("*").alias("copies"))

@@ -84,6 +84,20 @@ def test_many_versions_are_resolved_in_blocks(spark):
     assert best(spark, rows, block=16) == {(1, "1"): (600, 601)}
 
 
+def test_votes_do_not_depend_on_the_size_of_the_group(spark):
+    words = "a b c d e f g h".split()
+    texts = [(" ".join(words[:i % 8] + [f"x{i}"] + words[i % 8 + 1 :]) + " fin.", 1 + i % 2) for i in range(40)] + [("a b c d e f g h fin.", 1)]
+    texts += [(f"tout autre texte {i} que voici.", 3) for i in range(5)] + [("a b c d e f g h", 60)]  # the last has no end and no vote
+    rows = [(k, t) for k, t in enumerate(t for t, n in texts for _ in range(n))]
+    last = next(k for k, t in rows if t == "a b c d e f g h fin.")
+    made = [(k, 1, "1", t, 1, 0) for k, t in rows]
+    assert {best(spark, made, policy="votes", block=b)[1, "1"] for b in (4, 64, 1000)} == {(last, len(rows))}
+    assert best(spark, [(1, 1, "1", None, 1, 0), (2, 1, "1", "", 1, 0)], policy="votes") == {(1, "1"): (1, 2)}
+    base = "le chat dort".split()
+    for other in ("un le chat noir dort ici ce soir", "chat", "", "le chat dort"):
+        assert survivors.edited(base, survivors.differences(base, other.split())) == other.split()
+
+
 @pytest.mark.parametrize("text, good", [("Fin.", True), ("Fin (suite)", False), ("Fin…", False), ("Fin...", False), (" ", False), ("؟؟؟", False), ("نعم؟", True), ("« Oui. »", False), ("«Oui.»", True)])
 def test_usable(spark, text, good):
     assert spark.createDataFrame([(text,)], "t string").select(survivors.usable(F.col("t")).alias("u")).first().u is good
