@@ -158,9 +158,10 @@ def law_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as one batch after another: even ids first, then all, later rows last."""
+    """All documents as one batch over the first import of each file; later rows last."""
     rows = table(spark, d, "documents", "doc_id", "file_name", "short_title", "created_at")
-    return store.upsert(rows.where("doc_id % 2 = 0").groupBy("file_name").agg(F.max_by(F.struct("doc_id", "short_title", "created_at"), "doc_id").alias("r")).select("r.doc_id", "file_name", "r.short_title", "r.created_at"), rows.where("doc_id % 3 = 0"), ("file_name",), ("created_at", "doc_id"))
+    first = rows.groupBy("file_name").agg(F.min_by(F.struct("doc_id", "short_title", "created_at"), F.struct("created_at", "doc_id")).alias("r"))
+    return store.upsert(first.select("r.doc_id", "file_name", "r.short_title", "r.created_at"), rows, ("file_name",), ("created_at", "doc_id"))
 
 
 def replace_children(spark: SparkSession, d: str) -> DataFrame:

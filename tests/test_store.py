@@ -68,6 +68,14 @@ def test_import_twice_is_import_once(spark):
     assert sorted(map(tuple, once.collect())) == [("a", 1), ("b", 4), ("c", 5)] == sorted(map(tuple, twice.collect()))
 
 
+def test_upsert_documents_takes_all(spark, tmp_path):
+    from raqim.plans.store_queries import upsert_documents
+
+    rows = [(1, "a", "old", 1), (5, "a", "new", 3), (7, "b", "only", 2), (11, "c", "x", None), (12, "c", "y", 1), (13, "d", "p", 4), (14, "d", "q", 4)]
+    spark.createDataFrame(rows, "doc_id bigint, file_name string, short_title string, created_at bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in upsert_documents(spark, str(tmp_path)).collect()) == [5, 7, 12, 14]
+
+
 def test_sql_only_reads(spark):
     spark.createDataFrame([(1,)], "id int").createOrReplaceTempView("t")
     assert sql.query(spark, "SELECT id FROM t WHERE id = :x", x=1).first().id == 1
