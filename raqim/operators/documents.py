@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from raqim.functions.numbers import clean_number
 from raqim.functions.text import canonical_type, clean_text
+from raqim.operators.nested import Number, record
 
 
 def leaf_text(value: object) -> str:
@@ -19,7 +19,7 @@ def leaf_text(value: object) -> str:
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            if x:
+            if x and not isinstance(x, Number):
                 out.append(x)
         elif isinstance(x, dict):
             todo += reversed(list(x.values()))
@@ -29,12 +29,18 @@ def leaf_text(value: object) -> str:
 
 
 def change_strings(value: object, change: Callable[[str], str]) -> object:
-    """A JSON value with every string but the keys changed."""
-    if isinstance(value, str):
-        return change(value)
-    if isinstance(value, dict):
-        return {k: change_strings(v, change) for k, v in value.items()}
-    return [change_strings(v, change) for v in value] if isinstance(value, list) else value
+    """A JSON value of any depth with every string but the keys and the numbers changed, in a copy."""
+    top = [value]
+    todo: list[tuple[list | dict, object]] = [(top, 0)]
+    while todo:
+        held, at = todo.pop()
+        x = held[at]
+        if isinstance(x, str) and not isinstance(x, Number):
+            held[at] = change(x)
+        elif isinstance(x, (dict, list)):
+            held[at] = x = x.copy()
+            todo += [(x, k) for k in (x if isinstance(x, dict) else range(len(x)))]
+    return top[0]
 
 
 def json_leaf_text(df: DataFrame, key: str = "record_id", json_col: str = "payload") -> DataFrame:
@@ -43,9 +49,8 @@ def json_leaf_text(df: DataFrame, key: str = "record_id", json_col: str = "paylo
     kind = rows.schema["k"].dataType.simpleString()
 
     def one(text: str | None) -> str | None:
-        start, end = (text or "").find("{"), (text or "").rfind("}")
         try:
-            return leaf_text(json.loads(text[start : end + 1])) if 0 <= start < end else None
+            return leaf_text(record(text))
         except ValueError:
             return None
 

@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from raqim.operators.nested import child_table, infer_paths, node_table
+from raqim.operators.nested import _read, broken_records, child_table, flat_records, flat_table, infer_paths, loads, node_table, written
 
 KEY = "record_id bigint, payload string"
 
@@ -77,3 +79,40 @@ def test_merged_schema(spark):
 def test_numbers_as_written(spark, number):
     rows = spark.createDataFrame([(1, json.dumps({"structure": {"number": number}}))], KEY)
     assert node_table(rows).first().node_number == str(number)
+
+
+def test_any_depth_and_size(spark):
+    deep = '{"structure":[' + '{"type":"a","children":[' * 10_000 + '{"type":"z"}' + "]}" * 10_000 + "]}"
+    wide = '{"structure":[' + ",".join(f'{{"type":"t{i}","text":"{"x" * 900}"}}' for i in range(50_000)) + "]}"
+    got = node_table(spark.createDataFrame([(1, deep), (2, deep[:-2]), (3, wide), (4, None)], KEY), fields=("type",)).groupBy("record_id").agg({"pos": "count", "depth": "max"}).collect()
+    assert {(r["record_id"], r["count(pos)"], r["max(depth)"]) for r in got} == {(1, 10_001, 10_000), (3, 50_000, 0)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)), st.integers(0, 60))
+def test_reading_without_recursion(value, cut_at):
+    for text in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1), json.dumps(value)[:cut_at], json.dumps(value) + "]"):
+        try:
+            whole = loads(text)
+        except ValueError:
+            with pytest.raises(ValueError):
+                _read(text)
+        else:
+            assert _read(text) == whole
+            assert json.loads(written(whole) if isinstance(whole, (dict, list)) else "0") == (json.loads(text) if isinstance(whole, (dict, list)) else 0)
+
+
+def test_broken_records_are_listed(spark):
+    rows = spark.createDataFrame(list(enumerate(CASES)), KEY)
+    assert {r.record_id for r in broken_records(rows).collect()} == {4, 8}
+
+
+def test_every_array_is_a_table(spark):
+    record = json.dumps({"id": 7, "meta": {"lang": "fr", "refs": [{"q": 1}, 5, {"q": 2}]}, "parts": [{"n": "a", "parts": {"n": "b", "parts": [{"n": "c"}]}}]})
+    flat = flat_records(spark.createDataFrame([(1, record, "x"), (2, "{", "y")], KEY + ", path string"))
+    got = sorted((r.path, r.id, r.parent_id, r.ord, r.fields) for r in flat.collect())
+    assert got == sorted([
+        ("$", 0, -1, 0, {"id": "7", "meta.lang": "fr"}), ("$.parts[]", 1, 0, 0, {"n": "a"}), ("$.parts[]*", 2, 1, 0, {"n": "b"}), ("$.parts[]*", 3, 2, 0, {"n": "c"}),
+        ("$.meta.refs[]", 4, 0, 0, {"q": "1"}), ("$.meta.refs[]", 5, 0, 1, {"q": "2"}),
+    ])
+    assert [tuple(r) for r in flat_table(flat, "$.meta.refs[]", ["q"]).orderBy("id").collect()] == [(1, 4, 0, 0, "1"), (1, 5, 0, 1, "2")]
