@@ -3,11 +3,15 @@
 ``pos`` is the place in document order, a node before its children; ``parent_pos`` is
 NULL (or negative) at the top. Every operator partitions by document once; ancestors are
 window functions over ``pos``, one per level, since the last node of each smaller depth is
-an ancestor. No operator recurses or loops over rows.
+an ancestor. No operator recurses or loops over rows. Trees may be of any depth: ``levels``
+only says how many are climbed in one plan; where parents are left after that, each further
+round doubles the levels climbed. A node that is its own ancestor is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +19,10 @@ from raqim.functions.numbers import drop_stray_digit
 from raqim.functions.vocabulary import RANK
 from raqim.operators.lineage import cut
 
-#: Deepest trees taken; the ranks allow six levels, raw replies a few more.
-MOST_LEVELS = 12
+#: Levels climbed in one plan; the ranks allow six levels, raw replies a few more.
+LEVELS = 8
+#: Numbers generated at a time where a gap is filled.
+CHUNK = 4096
 
 
 def _order(doc: str = "doc"):
@@ -44,19 +50,40 @@ def compact_rank(rank: Column, doc: str = "doc") -> Column:
     return F.array_position(F.array_sort(F.collect_set(rank).over(Window.partitionBy(doc))), rank) - 1
 
 
-def with_ancestors(df: DataFrame, levels: int = MOST_LEVELS, *columns: str) -> DataFrame:
+def _climb(state: DataFrame, join: Callable[[Column, Column], Column], value: str) -> DataFrame:
+    """``state`` (doc, pos, up, value) carried on until no ``up`` is left: each round follows the ``up`` of ``up``.
+
+    ``value`` covers the ancestors below ``up``; ``join`` puts that of ``up`` to one's own.
+    """
+    state = cut(state)
+    # a chain of n nodes is climbed in as many rounds as n has binary digits
+    for left in range(state.count().bit_length(), -1, -1):
+        if state.where("up IS NOT NULL").isEmpty():
+            return state
+        if left == 0:
+            raise ValueError("a node is its own ancestor")
+        above = state.select("doc", F.col("pos").alias("up"), F.col("up").alias("_next"), F.col(value).alias("_above"))
+        state = cut(state.join(above, ["doc", "up"], "left").select("doc", "pos", F.col("_next").alias("up"), join(F.col("_above"), F.col(value)).alias(value)))
+    return state
+
+
+def with_ancestors(df: DataFrame, levels: int = LEVELS, *columns: str) -> DataFrame:
     """``ancestors``: array of (pos, columns..) from the top down, by ``depth`` (0 at the top).
 
     Subtrees must be contiguous in ``pos``, as ``renumber`` makes them where nodes of unknown
-    type stand between the parts of a tree.
+    type stand between the parts of a tree. Trees deeper than ``levels`` are climbed by joins.
     """
+    df = cut(df)
+    deepest = df.agg(F.max("depth")).first()[0] or 0
+    if deepest > levels:
+        return with_chain(df, levels, *columns)
     held = F.struct("pos", *columns)
-    last = [F.last(F.when(F.col("depth") == d, held), ignorenulls=True).over(_before()).alias(f"_a{d}") for d in range(levels)]
-    chain = F.slice(F.array(*[F.col(f"_a{d}") for d in range(levels)]), F.lit(1), F.col("depth"))
-    return df.select("*", *last).withColumn("ancestors", chain).drop(*[f"_a{d}" for d in range(levels)])
+    last = [F.last(F.when(F.col("depth") == d, held), ignorenulls=True).over(_before()).alias(f"_a{d}") for d in range(max(deepest, 1))]
+    chain = F.slice(F.array(*[F.col(f"_a{d}") for d in range(max(deepest, 1))]), F.lit(1), F.col("depth"))
+    return df.select("*", *last).withColumn("ancestors", chain).drop(*[f"_a{d}" for d in range(max(deepest, 1))])
 
 
-def with_chain(df: DataFrame, levels: int = MOST_LEVELS, *columns: str) -> DataFrame:
+def with_chain(df: DataFrame, levels: int = LEVELS, *columns: str) -> DataFrame:
     """``ancestors`` as in ``with_ancestors``, by joins on the parent.
 
     For trees whose subtrees are not contiguous in ``pos``: nodes of unknown type at the top
@@ -65,12 +92,15 @@ def with_chain(df: DataFrame, levels: int = MOST_LEVELS, *columns: str) -> DataF
     up = F.when(F.col("parent_pos") >= 0, F.col("parent_pos"))
     held = df.select("doc", F.col("pos").alias("_up"), up.alias("_next"), F.struct("pos", *columns).alias("_held"))
     chain = df.select("doc", "pos", up.alias("_up"), F.array().cast(f"array<{held.schema['_held'].dataType.simpleString()}>").alias("ancestors"))
-    for _ in range(levels - 1):
+    for _ in range(levels):
         chain = chain.join(held, ["doc", "_up"], "left").select("doc", "pos", F.col("_next").alias("_up"), F.when(F.col("_held").isNull(), F.col("ancestors")).otherwise(F.concat(F.array("_held"), "ancestors")).alias("ancestors"))
-    return df.join(chain.select("doc", "pos", "ancestors"), ["doc", "pos"])
+    # what is left to climb begins with the ancestor itself, since a round only takes over what lies above it
+    left = chain.join(held.select("doc", "_up", "_held"), ["doc", "_up"], "left").select("doc", "pos", F.col("_up").alias("up"), F.when(F.col("_held").isNull(), F.col("ancestors")).otherwise(F.concat(F.array("_held"), "ancestors")).alias("ancestors"))
+    whole = _climb(left, lambda above, own: F.when(above.isNull(), own).otherwise(F.concat(above, own)), "ancestors")
+    return df.join(whole.select("doc", "pos", "ancestors"), ["doc", "pos"])
 
 
-def renumber(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def renumber(df: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``pos`` and ``parent_pos`` from 0 in the order of the tree, children by their old places."""
     way = F.concat(F.transform("ancestors", lambda a: a["pos"]), F.array("pos"))
     placed = with_chain(df, levels).withColumn("_new", F.row_number().over(Window.partitionBy("doc").orderBy(way)) - 1).drop("ancestors")
@@ -79,7 +109,7 @@ def renumber(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     return out.select(*df.columns)
 
 
-def with_depth(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def with_depth(df: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``depth`` of each node from its ``parent_pos``: the parents of each level are joined once.
 
     Levels are found by narrow joins on (doc, pos), which share one partitioning.
@@ -89,24 +119,25 @@ def with_depth(df: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     depth = known.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
     for _ in range(levels - 1):
         depth = depth.join(step, ["doc", "up"], "left").select("doc", "pos", F.col("next").alias("up"), (F.col("depth") + F.when(F.col("next").isNotNull(), 1).otherwise(0)).alias("depth"))
+    depth = _climb(depth, lambda above, own: own + F.coalesce(above, F.lit(0)), "depth")
     return df.join(depth.select("doc", "pos", "depth"), ["doc", "pos"])
 
 
-def flatten_articles(df: DataFrame, article: str = "مادة", levels: int = MOST_LEVELS) -> DataFrame:
+def flatten_articles(df: DataFrame, article: str = "مادة", levels: int = LEVELS) -> DataFrame:
     """Children of an article hang on its nearest ancestor that is none; the order stays."""
     held = with_ancestors(df, levels, "type")
     proper = F.filter("ancestors", lambda a: a["type"] != article)
     return held.withColumn("parent_pos", F.try_element_at(proper, F.lit(-1))["pos"]).drop("ancestors")
 
 
-def prune_structure(df: DataFrame, allowed: tuple[str, ...] = tuple(RANK), article: str = "مادة", levels: int = MOST_LEVELS) -> DataFrame:
+def prune_structure(df: DataFrame, allowed: tuple[str, ...] = tuple(RANK), article: str = "مادة", levels: int = LEVELS) -> DataFrame:
     """Without nodes of other types, root articles and numbers that are no digits, and without their subtrees."""
     good = F.col("type").isin(*allowed) & ~((F.col("depth") == 0) & (F.col("type") == article)) & F.coalesce(F.trim("number"), F.lit("")).rlike(r"^\d*$")
     held = with_ancestors(df.withColumn("_good", F.coalesce(good, F.lit(False))), levels, "_good")
     return held.where(F.col("_good") & F.forall("ancestors", lambda a: a["_good"])).drop("_good", "ancestors")
 
 
-def merge_duplicates(df: DataFrame, article: str = "مادة", levels: int = MOST_LEVELS) -> DataFrame:
+def merge_duplicates(df: DataFrame, article: str = "مادة", levels: int = LEVELS) -> DataFrame:
     """Siblings of one type and number become one, articles excepted; texts are joined, children move over.
 
     A node is known by the types and numbers on the way to it (by its place if it is an
@@ -183,20 +214,24 @@ def sort_children(df: DataFrame) -> DataFrame:
     return df.withColumn("_same", same).withColumn("ord", F.row_number().over(siblings.orderBy(*keys)) - 1).drop("_same")
 
 
-def fill_missing(df: DataFrame, kind: Column, most: int = 1000) -> DataFrame:
+def numbers_between(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """``df`` with a row for each whole number from ``first`` to ``last``, however many; they are generated ``CHUNK`` at a time."""
+    chunks = df.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_last") - F.col("_first")) / CHUNK))))
+    start = F.col("_first") + F.col("_at") * CHUNK
+    return chunks.withColumn(name, F.explode(F.sequence(start, F.least(start + (CHUNK - 1), F.col("_last"))))).drop("_first", "_last", "_at")
+
+
+def fill_missing(df: DataFrame, kind: Column) -> DataFrame:
     """(doc, parent_pos, after_pos, type, number) of the numbers missing between neighbours of one type.
 
-    Before the first of its siblings the gap starts at 1. Gaps wider than ``most`` are not
-    filled; they come out as one row with a NULL number.
+    Before the first of its siblings the gap starts at 1. Gaps of any width are filled.
     """
     siblings = Window.partitionBy("doc", "parent_pos").orderBy("pos")
     number = F.col("number").try_cast("bigint")
     rows = df.select("doc", "parent_pos", "pos", "type", number.alias("n"), F.lag("pos").over(siblings).alias("p"), F.lag("type").over(siblings).alias("t"), F.lag(number).over(siblings).alias("m"))
     start = F.when(F.col("p").isNull(), F.lit(0)).when(F.col("t") == F.col("type"), F.col("m"))
-    rows = rows.where(kind).withColumn("start", start).where("n > start + 1")
-    wide = F.col("n") - F.col("start") - 1 > most
-    gaps = F.when(wide, F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.col("start") + 1, F.greatest(F.col("n") - 1, F.col("start") + 1)))
-    return rows.select("doc", "parent_pos", F.col("p").alias("after_pos"), "type", F.explode(gaps).alias("number")).withColumn("number", F.col("number").cast("string"))
+    rows = rows.where(kind).withColumn("start", start).where("n > start + 1").select("doc", "parent_pos", F.col("p").alias("after_pos"), "type", "start", "n")
+    return numbers_between(rows, F.col("start") + 1, F.col("n") - 1, "number").select("doc", "parent_pos", "after_pos", "type", F.col("number").cast("string").alias("number"))
 
 
 def drop_empty(df: DataFrame, article: str = "مادة") -> DataFrame:
@@ -205,7 +240,7 @@ def drop_empty(df: DataFrame, article: str = "مادة") -> DataFrame:
     return df.join(parents, ["doc", "pos"], "left").where((F.col("type") == article) | (F.coalesce("text", F.lit("")) != "") | F.col("_held")).drop("_held")
 
 
-def annexes(df: DataFrame, known: tuple[str, ...] = tuple(RANK), levels: int = MOST_LEVELS) -> DataFrame:
+def annexes(df: DataFrame, known: tuple[str, ...] = tuple(RANK), levels: int = LEVELS) -> DataFrame:
     """(doc, pos, title, text) of the topmost nodes of unknown type, with all texts below them."""
     held = with_chain(df.withColumn("_known", F.col("type").isin(*known)), levels, "_known")
     top = F.filter(F.concat("ancestors", F.array(F.struct("pos", "_known"))), lambda a: ~a["_known"])

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from raqim.operators import tree
@@ -67,7 +68,28 @@ def test_prune_and_annex(spark):
 def test_gaps(spark):
     flat = frame(spark, [("مادة", n, "") for n in ("3", "5", "5", "x", "9", "5000")]).withColumn("parent_pos", F.lit(None).cast("int"))
     got = [(r.after_pos, r.number) for r in tree.fill_missing(flat, F.col("type") == "مادة").collect()]
-    assert sorted(got, key=str) == sorted([(None, "1"), (None, "2"), (0, "4"), (4, None)], key=str)
+    assert sorted(got, key=str) == sorted([(None, "1"), (None, "2"), (0, "4"), *((4, str(n)) for n in range(10, 5000))], key=str)
+
+
+def test_depth_and_ancestors_of_any_tree(spark):
+    rng = random.Random(1)
+    rows = [(1, i, i - 1 if i else None, "باب") for i in range(70)] + [(2, i, rng.choice([None, *range(i)]), "باب") for i in range(60)] + [(3, 5, 4, "باب")]
+    up = {(d, i): u for d, i, u, _ in rows}
+
+    def chain(d, i):
+        return chain(d, up[d, i]) + [up[d, i]] if up.get((d, i)) is not None else []
+
+    df = spark.createDataFrame(rows, "doc bigint, pos int, parent_pos int, type string")
+    for levels in (2, 8):
+        deep = tree.with_depth(df, levels)
+        assert {(r.doc, r.pos): r.depth for r in deep.collect()} == {k: len(chain(*k)) for k in up}
+        known = {k: [p for p in chain(*k) if (k[0], p) in up] for k in up}
+        assert {(r.doc, r.pos): [a.pos for a in r.ancestors] for r in tree.with_chain(df, levels, "type").collect()} == known
+        line = deep.where("doc = 1")
+        assert {r.pos: [a.pos for a in r.ancestors] for r in tree.with_ancestors(line, levels).collect()} == {i: list(range(i)) for i in range(70)}
+    for ring in ([(1, 0, 1, "a"), (1, 1, 0, "a")], [(1, i, (i + 1) % 5, "a") for i in range(5)]):
+        with pytest.raises(ValueError):
+            tree.with_depth(spark.createDataFrame(ring, "doc bigint, pos int, parent_pos int, type string"), 2)
 
 
 def test_post_process_and_empty(spark):
