@@ -1,8 +1,9 @@
 """Repair of text from scanned pages: broken words, wrong characters, headers, page numbers.
 
 * Running headers: lines are keyed without case, decoration and page number, their digits
-  masked to a shape; a shape is a header if its lines run, that is come again within one
-  article, in several articles and often enough among all lines of the shape.
+  masked to a shape. Lines that run, that is come again within one text in different dress
+  (rules, numbers, capitals), teach which shapes, which dresses and which opening words
+  belong to headers, each by its share among all lines of the corpus that have it.
 * Page numbers: marked ones by form; a bare number is one unless SQL windows over the
   remaining lines show it to be the amount that follows an item of a tariff.
 * Broken words: a letter and a mark at a line end before a letter; a hyphen counts as real
@@ -12,29 +13,31 @@
   neighbours most often in the corpus, unless it stands there more often itself.
 * Reflow: SQL windows over the kept lines choose what joins each line to the next.
 
-All counts run over the whole corpus. Defined cases: null, empty and blank texts have no
+All counts run over the whole corpus. Generators are the outer ones where their array is costly:
+for others the optimizer adds a filter that computes the array again. Defined cases: null, empty and blank texts have no
 noise and stay as they are; lists, tariffs, labelled fields and plain line breaks are no
-noise; repeated rows each come out; extra columns are ignored; keys must be unique.
+noise; repeated rows each come out; extra columns are ignored; keys must be unique. Lines
+are compared by 64-bit digests of their whole keys and shapes, whatever their length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from raqim.operators.lineage import cut
 
 DIGIT = "[0-9٠-٩۰-۹]"
 #: A line that only gives a marked page number.
-PAGE = rf"(?iu)^(?:[-–—]\s*{DIGIT}{{1,4}}\s*[-–—]?|\[\s*{DIGIT}{{1,4}}\s*\]|{DIGIT}{{1,4}}\s*/\s*{DIGIT}{{1,4}}|(?:pages?|p|ص|صفحة)\s*\.?\s*{DIGIT}{{1,4}}(?:\s*/\s*{DIGIT}{{1,4}})?)$"
-BARE = rf"^{DIGIT}{{1,4}}$"
+PAGE = rf"(?iu)^(?:[-–—]\s*{DIGIT}+\s*[-–—]?|\[\s*{DIGIT}+\s*\]|{DIGIT}+\s*/\s*{DIGIT}+|(?:pages?|p|ص|صفحة)\s*\.?\s*{DIGIT}+(?:\s*/\s*{DIGIT}+)?)$"
+BARE = rf"^{DIGIT}+$"
 #: A line that begins an item of a list.
-ITEM = rf"^(?:[-–—•*]\s|\(?{DIGIT}{{1,3}}\s?[-)]|\(?\p{{L}}[-)])"
+ITEM = rf"^(?:[-–—•*]\s|\(?{DIGIT}+\s?[-)]|\(?\p{{L}}[-)])"
 #: Marks that break a word at a line end: hyphens, soft hyphen, not sign, tatweel.
 MARKS = r"\-‐‑¬­ـ"
 BROKEN = rf"\p{{L}}\p{{M}}*[{MARKS}]+$"
-#: Suspects are broadcast up to this many characters, and joined by a shuffle beyond.
-BROADCAST_CHARS = 32_000_000
+#: Tables are broadcast up to this many characters, and joined by a shuffle beyond.
+BROADCAST_CHARS = 16_000_000
 #: A form must be so many times as frequent as the one it replaces: if that holds a digit or sign, and otherwise.
 ODD_RATIO, LETTER_RATIO = 2, 8
 
@@ -51,8 +54,10 @@ _L_FROM, _L_TO = "".join(_LATIN), "".join(_LATIN.values())
 _A_FROM, _A_TO = "".join(_ARABIC), "".join(_ARABIC.values())
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s  -  ﻿]+|[\s  -  ﻿]+$", "")
+#: Blanks at the ends of lines.
+BLANKS = " \t\r\f\v\u00a0" + "".join(map(chr, range(0x2000, 0x2010))) + "\u2028\u2029\u202f\ufeff"
+#: A header is one of several texts; of all lines of a shape, a dress or an opening at least this share must be known headers.
+LEAST_TEXTS, SHAPE_SHARE, ALIKE_SHARE, DRESS_SHARE, OPENING_SHARE = 3, 0.15, 0.5, 0.5, 0.5
 
 
 def skeleton(word: Column) -> Column:
@@ -66,7 +71,7 @@ def skeleton(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, some of them empty; signs that stand for letters count as letters."""
-    return F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}|!@]+", " "), " ")
+    return F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}|!@]+")
 
 
 def _masked(word: str) -> Column:
@@ -74,73 +79,150 @@ def _masked(word: str) -> Column:
     return F.when((F.col(word) < ":") & F.col(word).rlike(r"^\p{N}+$"), "#").otherwise(F.col(word))
 
 
+def _if(test: Column, then: Column, other: Column) -> Column:
+    """``then`` where ``test``; a cheap test spares most lines a pattern that would change nothing."""
+    return F.when(test, then).otherwise(other)
+
+
 def _lines(df: DataFrame) -> DataFrame:
-    """Lines of the texts with line breaks: (k, whole, pos, s, cand, key, shape)."""
-    s = _stripped(F.col("line"))
-    key = F.translate(F.lower(F.col("s")), "أإآ", "ااا")
-    key = F.regexp_replace(key, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    key = F.regexp_replace(key, rf"\s+(?:[-–—]|عدد|n°|no|p\.|ص)?\s*{DIGIT}{{1,5}}$|^{DIGIT}{{1,4}}\s+[-–—]\s+", "")
-    key = F.regexp_replace(key, r"\s+", " ")
-    masked = F.regexp_replace(F.col("key"), rf"{DIGIT}+(?:[./]{DIGIT}+)*", "#")
-    cand = F.col("s").rlike(r"\p{L}{2}.*[^\p{L}].*\p{L}{2}") & ~F.col("s").rlike(rf"[.؛;:,،!?؟{MARKS}]$|[:：]|{ITEM}") & (F.length("s") <= 160)
+    """Lines of the texts with line breaks: (k, whole, pos, s, item, key, shape, dress), the last three of candidates for a header.
+
+    ``key`` is the line without case, decoration and number at either end, ``shape`` the key
+    with numbers masked (a digest, like the key), ``dress`` what the key leaves out.
+    """
+    s, low, inner, last, first = (F.col(c) for c in ("s", "low", "inner", "last", "first"))
+    cand = (s != "") & ~F.right(s, F.lit(1)).isin(*".؛;:,،!?؟-‐‑¬­ـ") & ~s.contains(":") & ~s.contains("：") & ~F.col("item") & s.rlike(r"(?<!\p{L})\p{L}{2,}+[^\p{L}].*?\p{L}{2}")
+    ends = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+    number, ahead = rf"\s+(?:[-–—]|عدد|n°|no|p\.|ص)?\s*{DIGIT}+$", rf"^{DIGIT}+\s+[-–—]\s+"
+    key = _if(first.rlike(DIGIT), F.regexp_replace(inner, ahead, ""), inner)
+    key = _if(last.rlike(DIGIT), F.regexp_replace(key, number, ""), key)
+    key = _if(inner.contains("  ") | inner.contains("\t"), F.regexp_replace(key, r"\s+", " "), key)
+    shape = _if(F.col("key").rlike(DIGIT), F.regexp_replace("key", rf"{DIGIT}+(?:[./]{DIGIT}+)*", "#"), F.col("key"))
+    # what stands around the key: signs, a number before a dash, the number of a page
+    around = F.concat(F.regexp_extract(low, rf"^[^\p{{L}}\p{{N}}]*(?:{DIGIT}+(?:[./]{DIGIT}+)*\s+[-–—]\s+)?", 0), F.lit("a"), F.regexp_extract(inner, number, 0), F.regexp_extract(low, r"[^\p{L}\p{N}]+$", 0))
+    plain = (inner == low) & ~first.rlike(DIGIT) & ~last.rlike(DIGIT)
+    dress = F.concat(_if(plain, F.lit("a"), F.regexp_replace(around, rf"{DIGIT}+(?:[./]{DIGIT}+)*", "#")), _if((F.upper(s) == s) & (F.lower(s) != s), F.lit("^"), F.lit("")))
     return (
         df.where(F.col("t").contains("\n"))
-        .select("k", F.xxhash64("t").alias("whole"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-        .withColumn("s", s)
-        .withColumn("cand", cand)
-        .withColumn("key", F.when(F.col("cand"), key))
-        .withColumn("shape", F.when(F.col("cand"), masked))
-        .select("k", "whole", "pos", "s", "cand", "key", F.when(F.col("shape").contains("#"), F.regexp_extract("shape", r"^[^#]*#\s*\S*", 0)).otherwise(F.col("shape")).alias("shape"))
+        .select("k", F.xxhash64("t").alias("whole"), F.posexplode_outer(F.split("t", "\n")).alias("pos", "line"))
+        .select("k", "whole", "pos", F.btrim("line", F.lit(BLANKS)).alias("s"))
+        .withColumn("item", s.rlike(ITEM))
+        .withColumn("low", F.when(cand, F.replace(F.replace(F.replace(F.lower(s), F.lit("أ"), F.lit("ا")), F.lit("إ"), F.lit("ا")), F.lit("آ"), F.lit("ا"))))
+        .withColumn("inner", _if(F.concat(F.left(low, F.lit(1)), F.right(low, F.lit(1))).rlike(r"[^\p{L}\p{N}]"), F.regexp_replace(low, ends, ""), low))
+        .withColumns({"first": F.left(inner, F.lit(1)), "last": F.right(inner, F.lit(1))})
+        .withColumn("key", key)
+        .withColumn("shape", shape)
+        .withColumn("dress", F.when(low.isNotNull(), dress))
+        .select("k", "whole", "pos", "s", "item", "key", "shape", "dress")
     )
 
 
-def header_lines(lines: DataFrame, least_texts: int = 3, share: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    """(shapes, local): shapes of running headers over the corpus, and the (k, key) of headers within one text.
+def header_lines(lines: DataFrame) -> DataFrame:
+    """(k, pos) of the lines that are running headers, from lines as ``_lines`` gives them, key and shape as digests.
 
-    Lines of a header come again within one text, and not always in the same dress: with
-    or without rules, numbers and capitals. A shape needs both in several different texts.
-    Its first word alone will do as a shape if most of what begins so is a header.
+    Lines that come again within one text, and not always in the same dress, are headers. So is
+
+    * every line of a shape that does so in several texts, often enough for the shape, or
+      that comes again in several texts and mostly does so,
+    * every line in a dress (other than none) mostly worn by such lines,
+    * every line that begins with words, one or more, that mostly begin such lines.
+
+    Every share is one of all candidate lines of the corpus.
     """
-    dress = F.xxhash64(F.regexp_replace("s", rf"[\p{{L}}\p{{M}}]+|{DIGIT}+", "a"), F.upper("s") == F.col("s"))
-    within = lines.where("cand").groupBy("k", "shape", "key").agg(F.count("*").alias("c"), F.min(dress).alias("d0"), F.max(dress).alias("d1"), F.min("whole").alias("whole"))
-    within = cut(within)  # read for the shapes and for the headers of one text
-    again, dressed = F.col("c") > 1, F.col("d0") != F.col("d1")
-    first = F.struct(F.regexp_extract("shape", r"^\S+", 0).alias("shape"), F.lit(True).alias("first"), F.lit(2 * share).alias("share"))
-    full = F.struct("shape", F.lit(False).alias("first"), F.lit(share).alias("share"))
-    by = within.select("*", F.inline(F.when(F.col("shape").contains("#"), F.array(full)).otherwise(F.array(full, first))).alias("of", "first", "least")).groupBy("of", "first").agg(
-        F.sum("c").alias("n"), F.sum(F.when(again, F.col("c")).otherwise(0)).alias("r"), F.count_distinct(F.when(again & dressed, F.col("whole"))).alias("texts"), F.max("least").alias("least")
-    )
-    shapes = by.where((F.col("texts") >= least_texts) & (F.col("r") >= F.col("least") * F.col("n"))).select("of", "first")
-    return shapes, within.where(again & dressed).select("k", "key", F.lit(True).alias("local"))
-
-
-def _kinds(lines: DataFrame) -> DataFrame:
-    """Each line with its kind: header, page or text."""
-    shapes, local = header_lines(lines)
-    shapes = cut(shapes)
-    full = _bounded(shapes.where("NOT first").select(F.col("of").alias("shape"), F.lit(True).alias("by_shape")), "shape")
-    word = _bounded(shapes.where("first").select(F.col("of").alias("first"), F.lit(True).alias("by_first")), "first")
-    known = lines.withColumn("first", F.regexp_extract("shape", r"^\S+", 0)).join(full, "shape", "left").join(word, "first", "left").join(local, ["k", "key"], "left")
-    first = known.select(
-        "k", "pos", "s", F.when(F.coalesce("by_shape", "by_first", "local"), "header").when(F.col("s").rlike(PAGE), "page").when(F.col("s").rlike(BARE), "bare").otherwise("text").alias("kind")
-    )
+    asked = lines.where("key IS NOT NULL")
+    once = asked.groupBy("k", "key").agg(F.count("*").alias("c"), F.min(F.xxhash64("dress")).alias("d0"), F.max(F.xxhash64("dress")).alias("d1"))
+    again = _bounded(once.where("c > 1").select("k", "key", (F.col("d0") != F.col("d1")).alias("run")))
+    repeated = cut(asked.join(again, ["k", "key"]).select("k", "pos", "whole", "shape", "run"))
+    by = repeated.groupBy("shape").agg(F.count("*").alias("r"), F.count_distinct(F.when(F.col("run"), F.col("whole"))).alias("runs"), F.count_distinct("whole").alias("texts"))
+    tried = _bounded(by.where(F.col("texts") >= LEAST_TEXTS))
+    many = asked.select("shape").join(tried.select("shape"), "shape").groupBy("shape").agg(F.count("*").alias("n"))
+    shapes = many.join(tried, "shape").where(((F.col("runs") >= LEAST_TEXTS) & (F.col("r") >= SHAPE_SHARE * F.col("n"))) | (F.col("r") >= ALIKE_SHARE * F.col("n")))
+    shapes = _bounded(shapes.select("shape", F.lit(True).alias("by_shape")))
+    runs = _bounded(repeated.where("run").select("k", "pos", F.lit(True).alias("by_run")))
+    known = asked.join(runs, ["k", "pos"], "left").join(shapes, "shape", "left").select("k", "pos", "whole", "dress", F.coalesce("by_run", "by_shape", F.lit(False)).alias("known"))
+    texts = F.count_distinct(F.when(F.col("known"), F.col("whole")))
+    share = F.count_if("known") / F.count("*")
+    dresses = known.where("dress <> 'a'").groupBy("dress").agg(texts.alias("texts"), share.alias("share")).where((F.col("texts") >= LEAST_TEXTS) & (F.col("share") >= DRESS_SHARE))
+    dresses = _bounded(dresses.select("dress", F.lit(True).alias("by_dress")))
+    known = _bounded(known.join(dresses, "dress", "left").where("known OR by_dress").select("k", "pos", F.lit(True).alias("known")))
+    return known.select("k", "pos").unionByName(_opened(asked.select("k", "pos", "whole", "s").join(known, ["k", "pos"], "left").withColumn("known", F.coalesce("known", F.lit(False)))))
+
+
+def _opened(known: DataFrame) -> DataFrame:
+    """(k, pos) of further lines whose first words mostly begin headers."""
+    low = F.col("low")
+    begins = F.left(low, F.lit(1)).rlike(r"\p{L}")
+    norm = _if(begins, low, F.regexp_replace(low, r"^[^\p{L}]+", ""))
+    norm = _if(low.rlike(DIGIT), F.regexp_replace(norm, rf"{DIGIT}+(?:[./]{DIGIT}+)*", "#"), norm)
+    norm = _if(low.contains("  ") | low.contains("\t"), F.regexp_replace(norm, r"\s+", " "), norm)
+    # a generator between the value and its uses, else the optimizer would compute it in each of them
+    said = known.select("k", "pos", "whole", "known", F.lower("s").alias("low")).select("k", "pos", "whole", "known", F.explode_outer(F.array(norm)).alias("low")).withColumn("first", F.substring_index("low", " ", 1))
+    words = "length(low) - length(replace(low, ' ', '')) + 1"
+    digests = "transform(sequence(1, {}), i -> xxhash64(substring_index(low, ' ', i)))".format
+    # openings that begin headers of several texts, of any number of words
+    openings = said.where("known").select("whole", "first", F.posexplode_outer(F.expr(digests(words))).alias("at", "opening"))
+    openings = _bounded(openings.groupBy("first", "at", "opening").agg(F.count("*").alias("e"), F.count_distinct("whole").alias("texts")).where(F.col("texts") >= LEAST_TEXTS))
+    longest = openings.agg(F.max("at")).first()[0]
+    if longest is None:
+        return known.where(F.lit(False)).select("k", "pos")
+    # of a line only the words are looked at that the longest opening has; those without its first word have none
+    begun = said.where("NOT known").join(_bounded(openings.select("first").distinct()), "first", "left_semi")
+    begun = cut(begun.select("k", "pos", F.explode_outer(F.expr(digests(f"least({words}, {longest + 1})"))).alias("opening")).join(openings.select("opening", "e"), "opening"))
+    # of all lines that begin so, those known are e
+    more = begun.groupBy("opening").agg(F.count("*").alias("n"))
+    sure = openings.join(more, "opening").where(F.col("e") >= OPENING_SHARE * (F.col("e") + F.col("n"))).select("opening")
+    return begun.join(_bounded(sure), "opening", "left_semi").select("k", "pos").distinct()
+
+
+def _digests(lines: DataFrame) -> DataFrame:
+    """``lines`` with key and shape as digests of 64 bits."""
+    key = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+    return lines.select("k", "whole", "pos", "s", "item", key.alias("key"), F.when(F.col("key").isNotNull(), F.xxhash64("shape")).alias("shape"), "dress")
+
+
+def _packed(lines: DataFrame) -> DataFrame:
+    """(k, header, page, broken, held): of each text the kept lines in order, each with what joins it to the next.
+
+    ``held`` has pos, s, how (0 last, 1 broken, 2 ends a paragraph, 3 runs on), and of a
+    line broken at a plain hyphen x and y, its last word and the first of the next. All
+    windows are over the lines of one text and share one exchange.
+    """
+    heads = _bounded(header_lines(lines).select("k", "pos", F.lit(True).alias("header")))
+    s = F.col("s")
+    bare = s.rlike(BARE)
+    kind = F.when(F.col("header"), "header").when(F.length(s) == 0, "text").when(bare, "bare").when(s.rlike(DIGIT) & s.rlike(PAGE), "page").otherwise("text")
+    first = lines.select("k", "pos", "s", "item").join(heads, ["k", "pos"], "left").select("k", "pos", "s", "item", kind.alias("kind"))
     order = Window.partitionBy("k").orderBy("pos")
     kept = F.col("kind").isin("bare", "text") & (F.col("s") != "")
     # the last kept line before; two bare numbers in a row: the second is a page number
     previous = F.last(F.when(kept, F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     second = first.withColumn("kind", F.when((F.col("kind") == "bare") & (previous == "bare"), "page").otherwise(F.col("kind")))
-    block = F.count_if(kept & F.col("s").rlike("[:：]$")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    second = second.withColumn("block", block)
+    block = F.count_if(kept & (s.endswith(":") | s.endswith("："))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     inside = Window.partitionBy("k", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     place, numbers = F.count_if(kept).over(inside) - 1, F.count_if(F.col("kind") == "bare").over(inside)
     amount = (F.col("block") > 0) & (place == 2 * numbers)
-    return second.withColumn("amount", amount).select("k", "pos", "s", F.when((F.col("kind") == "bare") & ~F.col("amount"), "page").when(F.col("kind") == "bare", "text").otherwise(F.col("kind")).alias("kind"))
+    third = second.withColumn("block", block).withColumn("amount", amount)
+    third = third.select("k", "pos", "s", "item", F.when((F.col("kind") == "bare") & ~F.col("amount"), "page").when(F.col("kind") == "bare", "amount").otherwise(F.col("kind")).alias("kind"))
+    ours, whole = F.col("kind").isin("text", "amount"), Window.partitionBy("k")
+    third = third.withColumns({kind: F.count_if(F.col("kind") == kind).over(whole) for kind in ("header", "page")})
+    # the first line stays as bearer of the counts, whatever its kind; it is no line's next
+    fourth = third.where(ours | (F.col("pos") == 0)).withColumn("next", F.lead(F.struct("s", "item", "kind")).over(order))
+    marked = F.right("s", F.lit(1)).isin(*"-‐‑¬­ـ")
+    broken = F.when(marked & F.col("next.s").rlike(r"^[\p{L}\p{M}]"), F.col("s").rlike(BROKEN)).otherwise(False)
+    last = F.right("s", F.lit(1))
+    ends = (s == "") | (F.col("next.s") == "") | (F.col("kind") == "amount") | (F.col("next.kind") == "amount") | last.isin(*".!?؟:：…") | _if(last.isin(*"»\"')]"), s.rlike(r"[.!?؟:：…][»\"')\]]+$"), F.lit(False)) | F.col("next.item")
+    how = F.when(F.col("next").isNull(), 0).when(F.col("broken"), 1).when(ends, 2).otherwise(3)
+    plain = F.col("broken") & s.rlike(r"[-‐‑]$") & ~s.rlike("ـ.?$")
+    x, y = F.lower(F.regexp_extract("s", rf"([\p{{L}}\p{{M}}]+)[{MARKS}]+$", 1)), F.lower(F.regexp_extract("next.s", r"^[\p{L}\p{M}]+", 0))
+    fifth = fourth.withColumn("broken", broken).select("k", "header", "page", ours.alias("ours"), "pos", "s", how.cast("tinyint").alias("how"), F.when(plain, x).alias("x"), F.when(plain, y).alias("y"))
+    held = F.sort_array(F.collect_list(F.when(F.col("ours"), F.struct("pos", "s", "how", "x", "y")))).alias("held")
+    return fifth.groupBy("k").agg(F.max("header").alias("header"), F.max("page").alias("page"), F.count_if(F.col("ours") & (F.col("how") == 1)).alias("broken"), held)
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
     """(a, b, n): neighbouring words over the whole corpus; the first word of a text follows ''."""
-    pairs = F.arrays_zip(F.concat(F.array(F.lit("")), F.col("w")).alias("a"), F.col("w").alias("b"))
-    return rows.select(tokens(F.col("t")).alias("w")).select(F.inline(pairs)).where("b <> ''").select(_masked("a").alias("a"), _masked("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    said = rows.select(tokens(F.col("t")).alias("w")).select("w", F.posexplode_outer("w").alias("at", "b")).where("b <> ''")
+    return said.select(F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("a"), "b").select(_masked("a").alias("a"), _masked("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _replacements(bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +236,21 @@ def _replacements(bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return real.join(frequent, "bone").where((F.col("often") >= ratio * F.col("n")) & (F.col("right") != F.col("word")) & ~F.col("word").endswith("!")).select("word", "right", "often", odd.alias("odd")), words
 
 
-def _bounded(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with a broadcast hint if its text is proven small, else as it is."""
-    size = df.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_CHARS else df
+def _kept(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` as written to the shared folder, and whether that is small; its size is summed up while it is written.
+
+    Each value counts 8 and its characters or elements.
+    """
+    wide = [F.coalesce(F.length(c) if kind == "string" else F.size(c), F.lit(0)) for c, kind in df.dtypes if kind == "string" or kind.startswith("array")]
+    size = Observation()
+    out = cut(df.observe(size, F.sum(sum(wide, F.lit(8 * len(df.columns))).cast("bigint")).alias("size")))
+    return out, (size.get["size"] or 0) <= BROADCAST_CHARS
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` as written, with a broadcast hint if that is small."""
+    out, small = _kept(df)
+    return F.broadcast(out) if small else out
 
 
 def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -169,58 +262,49 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     bigrams = cut(_bigrams(rows))
     suspects, words = _replacements(bigrams)
-    suspects = cut(suspects)
-    kinds = cut(_kinds(cut(_lines(rows))))
+    suspects, few = _kept(suspects)
+    packed = cut(_packed(cut(_digests(_lines(rows)))))
 
-    # joins of lines: what follows each kept line, and whether its last word is broken
-    kept = kinds.where("kind = 'text'")
-    order = Window.partitionBy("k").orderBy("pos")
-    ahead = kept.withColumn("next", F.lead("s").over(order)).withColumn("first_word", F.regexp_extract("next", r"^[\p{L}\p{M}]+", 0))
-    ahead = ahead.withColumn("broken", F.coalesce(F.col("s").rlike(BROKEN) & (F.col("first_word") != ""), F.lit(False)))
-    head = F.regexp_extract("s", rf"([\p{{L}}\p{{M}}]+)[{MARKS}]+$", 1)
-    plain = F.col("broken") & F.col("s").rlike(r"[-‐‑]$") & ~F.col("s").rlike("ـ.?$")
-    ahead = ahead.withColumn("x", F.when(plain, F.lower(head))).withColumn("y", F.when(plain, F.lower("first_word")))
     # a compound of the corpus is met as two neighbouring words, besides these breaks, more often than as one
-    asked = ahead.where("x IS NOT NULL").groupBy("x", "y", F.concat("x", "y").alias("joined")).agg(F.count("*").alias("breaks"))
+    breaks = packed.select("k", F.inline("held")).where("x IS NOT NULL").select("k", "pos", "x", "y")
+    asked = breaks.groupBy("x", "y", F.concat("x", "y").alias("joined")).agg(F.count("*").alias("breaks"))
     pairs = bigrams.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n").alias("apart"))
-    real = asked.join(pairs, ["x", "y"]).join(words.select(F.col("word").alias("joined"), "n"), "joined", "left").where(F.col("apart") - F.col("breaks") > F.coalesce("n", F.lit(0))).select("x", "y", F.lit(True).alias("real"))
-    ahead = ahead.join(_bounded(cut(real), "x", "y"), ["x", "y"], "left").withColumn("hyphen", F.col("broken") & F.col("real").isNull())
-
-    ends = F.col("s").rlike(r"[.!?؟:：…][»\"')\]]*$") | (F.col("s") == "") | F.col("next").rlike(ITEM) | (F.col("next") == "") | F.col("s").rlike(BARE) | F.col("next").rlike(BARE)
-    piece = (
-        F.when(F.col("next").isNull(), F.col("s"))
-        .when(F.col("hyphen"), F.regexp_replace("s", f"[{MARKS}]+$", ""))
-        .when(F.col("broken"), F.col("s"))
-        .when(ends, F.concat("s", F.lit("\n")))
-        .otherwise(F.concat("s", F.lit(" ")))
+    real = asked.join(pairs, ["x", "y"]).join(words.select(F.col("word").alias("joined"), "n"), "joined", "left").where(F.col("apart") - F.col("breaks") > F.coalesce("n", F.lit(0))).select("x", "y")
+    compounds = _bounded(breaks.join(_bounded(real), ["x", "y"], "left_semi").groupBy("k").agg(F.collect_set("pos").alias("compounds")))
+    flowed = packed.join(compounds, "k", "left").withColumn("compounds", F.coalesce("compounds", F.array().cast("array<int>")))
+    hyphen = lambda e: (e["how"] == 1) & ~F.array_contains("compounds", e["pos"])
+    piece = lambda e: (
+        F.when(hyphen(e), F.regexp_replace(e["s"], f"[{MARKS}]+$", "")).when(e["how"] <= 1, e["s"]).when(e["how"] == 2, F.concat(e["s"], F.lit("\n"))).otherwise(F.concat(e["s"], F.lit(" ")))
     )
-    flowed = ahead.select("k", "pos", piece.alias("piece"), "hyphen").groupBy("k").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY pos)").alias("t"), F.count_if("hyphen").alias("hyphen"))
-    marks = kinds.where("kind <> 'text'").groupBy("k").agg(F.count_if(F.col("kind") == "header").alias("header"), F.count_if(F.col("kind") == "page").alias("page"))
-    flowed = cut(flowed.join(marks, "k", "full_outer").select("k", F.coalesce("t", F.lit("")).alias("t"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hyphen", "header", "page")]))
-
-    zero = F.lit(0).cast("bigint")
-    clean = flowed.unionByName(rows.where(F.col("t").isNull() | ~F.col("t").contains("\n")).select("k", "t", zero.alias("hyphen"), zero.alias("header"), zero.alias("page")))
-    around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
-    met = clean.where("t <> ''").select("k", tokens(F.col("t")).alias("w")).select("k", F.inline(around)).where("b <> ''")
-    met = met.join(_bounded(suspects, "word", "right").withColumnRenamed("word", "b"), "b").select("k", "b", "right", "often", "odd", "a", "c").distinct()
+    flowed = flowed.select("k", F.array_join(F.transform("held", piece), "").alias("t"), (F.col("broken") - F.size("compounds")).alias("hyphen"), "header", "page")
+
+    clean = flowed.select("k", "t").unionByName(rows.where(F.col("t").isNull() | ~F.col("t").contains("\n")))
+    spoken = clean.where("t <> ''").select("k", tokens(F.col("t")).alias("w"))
+    wrong = suspects.withColumnRenamed("word", "b")
+    if few:  # few words are met, so the neighbours are looked up after the join
+        met = spoken.select("k", "w", F.posexplode_outer("w").alias("at", "b")).join(F.broadcast(wrong), "b").select("k", "b", "right", "often", "odd", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("a"), F.coalesce(F.get("w", F.col("at") + 1), F.lit("")).alias("c"))
+    else:
+        around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
+        met = spoken.select("k", F.inline_outer(around)).where("b <> ''").join(wrong, "b").select("k", "b", "right", "often", "odd", "a", "c")
     met = cut(met)
     # how often each candidate, and the form itself elsewhere (right is NULL), stands beside the same neighbours
-    itself = F.lit(None).cast("string")
-    forms = met.select("k", "b", "a", "c", "right", F.col("right").alias("as")).unionByName(met.where("NOT odd").select("k", "b", "a", "c", itself.alias("right"), F.col("b").alias("as")).distinct())
-    left = forms.select("k", "b", "a", "c", "right", _masked("a").alias("x"), F.col("as").alias("y"))
-    right = forms.where("c <> ''").select("k", "b", "a", "c", "right", F.col("as").alias("x"), _masked("c").alias("y"))
-    beside = left.unionByName(right).join(bigrams.select(F.col("a").alias("x"), F.col("b").alias("y"), "n"), ["x", "y"]).groupBy("k", "b", "a", "c", "right").agg(F.sum(F.when(F.col("right").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("n"))
-    best = beside.join(met.select("b", "right", "often").distinct(), ["b", "right"], "left")
-    chosen = best.groupBy("k", "b", "a", "c").agg(F.max(F.when(F.col("right").isNotNull(), F.struct("n", "often", "right"))).alias("top"), F.max(F.when(F.col("right").isNull(), F.col("n"))).alias("own"))
+    around = met.groupBy("b", "a", "c").agg(F.collect_set(F.struct("right", "often")).alias("rights"), F.first("odd").alias("odd"))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("right"), F.lit(None).cast("bigint").alias("often")))
+    forms = around.select("b", "a", "c", F.inline(F.when(F.col("odd"), F.col("rights")).otherwise(F.concat("rights", itself)))).withColumn("as", F.coalesce("right", "b"))
+    sides = F.array(F.struct(_masked("a").alias("x"), F.col("as").alias("y")), F.struct(F.col("as").alias("x"), _masked("c").alias("y")))
+    beside = forms.select("b", "a", "c", "right", "often", F.inline(sides)).where("y <> ''").join(bigrams.select(F.col("a").alias("x"), F.col("b").alias("y"), "n"), ["x", "y"])
+    best = beside.groupBy("b", "a", "c", "right", "often").agg(F.sum(F.when(F.col("right").isNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("n"))
+    chosen = best.groupBy("b", "a", "c").agg(F.max(F.when(F.col("right").isNotNull(), F.struct("n", "often", "right"))).alias("top"), F.max(F.when(F.col("right").isNull(), F.col("n"))).alias("own"))
     # a form that its own context supports more is a word of its own
-    chosen = chosen.where(F.col("top.n") >= F.coalesce("own", F.lit(0)))
-    supported = chosen.groupBy("k", "b").agg(F.max("top").alias("top")).groupBy("k").agg(F.collect_set(F.struct("b", F.col("top.right").alias("right"))).alias("wrong"))
-    counted = clean.join(supported, "k", "left").withColumn("char", F.coalesce(F.size("wrong"), F.lit(0)).cast("bigint"))
+    chosen = _bounded(chosen.where(F.col("top.n") >= F.coalesce("own", F.lit(0))).select("b", "a", "c", F.col("top.n").alias("n"), F.col("top.often").alias("often"), F.col("top.right").alias("right")))
+    supported = met.select("k", "b", "a", "c").join(chosen, ["b", "a", "c"]).groupBy("k", "b").agg(F.max(F.struct("n", "often", "right")).alias("top")).groupBy("k").agg(F.collect_set(F.struct("b", F.col("top.right").alias("right"))).alias("wrong"))
+    supported, some = _kept(supported)
 
-    noise = counted.select("k", F.inline(F.array(*[F.struct(F.lit(c).alias("noise"), F.col(c).alias("n")) for c in ("hyphen", "header", "page", "char")]))).where("n > 0")
+    lines = flowed.select("k", F.inline(F.array(*[F.struct(F.lit(c).alias("noise"), F.col(c).alias("n")) for c in ("hyphen", "header", "page")]))).where("n > 0")
+    noise = lines.unionByName(supported.select("k", F.lit("char").alias("noise"), F.size("wrong").cast("bigint").alias("n")))
     fixed = F.aggregate(
         F.coalesce("wrong", F.expr("CAST(array() AS array<struct<b:string,right:string>>)")),
         F.col("t"),
         lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])\Q"), x["b"], F.lit(r"\E(?![\p{L}\p{M}\p{N}])")), x["right"]),
     )
-    return noise.withColumnRenamed("k", key), counted.select(F.col("k").alias(key), fixed.alias(text))
+    return noise.withColumnRenamed("k", key), clean.join(F.broadcast(supported) if some else supported, "k", "left").select(F.col("k").alias(key), fixed.alias(text))
