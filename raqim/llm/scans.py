@@ -85,13 +85,13 @@ def _if(test: Column, then: Column, other: Column) -> Column:
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """Lines of the texts with line breaks: (k, whole, pos, s, item, key, shape, dress), the last three of candidates for a header.
+    """Lines of the texts with line breaks: (k, whole, pos, s, item, mark, key, shape, dress), the last three of candidates for a header.
 
-    ``key`` is the line without case, decoration and number at either end, ``shape`` the key
+    ``mark`` is 1 of a bare number, 2 of a marked page number, else 0. ``key`` is the line without case, decoration and number at either end, ``shape`` the key
     with numbers masked (a digest, like the key), ``dress`` what the key leaves out.
     """
     s, low, inner, last, first = (F.col(c) for c in ("s", "low", "inner", "last", "first"))
-    cand = (s != "") & ~F.right(s, F.lit(1)).isin(*".؛;:,،!?؟-‐‑¬­ـ") & ~s.contains(":") & ~s.contains("：") & ~F.col("item") & s.rlike(r"(?<!\p{L})\p{L}{2,}+[^\p{L}].*?\p{L}{2}")
+    cand = (F.col("mark") == 0) & (s != "") & ~F.right(s, F.lit(1)).isin(*".؛;:,،!?؟-‐‑¬­ـ") & ~s.contains(":") & ~s.contains("：") & ~F.col("item") & s.rlike(r"(?<!\p{L})\p{L}{2,}+[^\p{L}].*?\p{L}{2}")
     ends = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
     number, ahead = rf"\s+(?:[-–—]|عدد|n°|no|p\.|ص)?\s*{DIGIT}+$", rf"^{DIGIT}+\s+[-–—]\s+"
     key = _if(first.rlike(DIGIT), F.regexp_replace(inner, ahead, ""), inner)
@@ -107,13 +107,14 @@ def _lines(df: DataFrame) -> DataFrame:
         .select("k", F.xxhash64("t").alias("whole"), F.posexplode_outer(F.split("t", "\n")).alias("pos", "line"))
         .select("k", "whole", "pos", F.btrim("line", F.lit(BLANKS)).alias("s"))
         .withColumn("item", s.rlike(ITEM))
+        .withColumn("mark", F.when(~s.rlike(DIGIT), 0).when(s.rlike(BARE), 1).when(s.rlike(PAGE), 2).otherwise(0).cast("tinyint"))
         .withColumn("low", F.when(cand, F.replace(F.replace(F.replace(F.lower(s), F.lit("أ"), F.lit("ا")), F.lit("إ"), F.lit("ا")), F.lit("آ"), F.lit("ا"))))
         .withColumn("inner", _if(F.concat(F.left(low, F.lit(1)), F.right(low, F.lit(1))).rlike(r"[^\p{L}\p{N}]"), F.regexp_replace(low, ends, ""), low))
         .withColumns({"first": F.left(inner, F.lit(1)), "last": F.right(inner, F.lit(1))})
         .withColumn("key", key)
         .withColumn("shape", shape)
         .withColumn("dress", F.when(low.isNotNull(), dress))
-        .select("k", "whole", "pos", "s", "item", "key", "shape", "dress")
+        .select("k", "whole", "pos", "s", "item", "mark", "key", "shape", "dress")
     )
 
 
@@ -177,46 +178,48 @@ def _opened(known: DataFrame) -> DataFrame:
 def _digests(lines: DataFrame) -> DataFrame:
     """``lines`` with key and shape as digests of 64 bits."""
     key = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
-    return lines.select("k", "whole", "pos", "s", "item", key.alias("key"), F.when(F.col("key").isNotNull(), F.xxhash64("shape")).alias("shape"), "dress")
+    return lines.select("k", "whole", "pos", "s", "item", "mark", key.alias("key"), F.when(F.col("key").isNotNull(), F.xxhash64("shape")).alias("shape"), "dress")
 
 
-def _packed(lines: DataFrame) -> DataFrame:
-    """(k, header, page, broken, held): of each text the kept lines in order, each with what joins it to the next.
+def _marked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((k, pos, kind) of headers and page numbers, (k, pos) of bare numbers that are amounts).
 
-    ``held`` has pos, s, how (0 last, 1 broken, 2 ends a paragraph, 3 runs on), and of a
-    line broken at a plain hyphen x and y, its last word and the first of the next. All
-    windows are over the lines of one text and share one exchange.
+    Of two bare numbers in a row the second is a page number; one that follows an item of a
+    tariff is its amount. Only texts with bare numbers go through these windows.
     """
-    heads = _bounded(header_lines(lines).select("k", "pos", F.lit(True).alias("header")))
+    heads = _bounded(header_lines(lines).select("k", "pos", F.lit("header").alias("kind")))
+    bare = _bounded(lines.where("mark = 1").select("k").distinct())
     s = F.col("s")
-    bare = s.rlike(BARE)
-    kind = F.when(F.col("header"), "header").when(F.length(s) == 0, "text").when(bare, "bare").when(s.rlike(DIGIT) & s.rlike(PAGE), "page").otherwise("text")
-    first = lines.select("k", "pos", "s", "item").join(heads, ["k", "pos"], "left").select("k", "pos", "s", "item", kind.alias("kind"))
+    first = lines.join(bare, "k", "left_semi").select("k", "pos", "s", "mark").join(heads, ["k", "pos"], "left").where("kind IS NULL AND mark < 2 AND s <> ''")
     order = Window.partitionBy("k").orderBy("pos")
-    kept = F.col("kind").isin("bare", "text") & (F.col("s") != "")
-    # the last kept line before; two bare numbers in a row: the second is a page number
-    previous = F.last(F.when(kept, F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    second = first.withColumn("kind", F.when((F.col("kind") == "bare") & (previous == "bare"), "page").otherwise(F.col("kind")))
-    block = F.count_if(kept & (s.endswith(":") | s.endswith("："))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    second = first.withColumn("bare", (F.col("mark") == 1) & ~((F.col("mark") == 1) & F.coalesce(F.lag("mark").over(order) == 1, F.lit(False))))
+    second = second.where("mark = 0 OR bare")
+    block = F.count_if(s.endswith(":") | s.endswith("：")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     inside = Window.partitionBy("k", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    place, numbers = F.count_if(kept).over(inside) - 1, F.count_if(F.col("kind") == "bare").over(inside)
-    amount = (F.col("block") > 0) & (place == 2 * numbers)
-    third = second.withColumn("block", block).withColumn("amount", amount)
-    third = third.select("k", "pos", "s", "item", F.when((F.col("kind") == "bare") & ~F.col("amount"), "page").when(F.col("kind") == "bare", "amount").otherwise(F.col("kind")).alias("kind"))
-    ours, whole = F.col("kind").isin("text", "amount"), Window.partitionBy("k")
-    third = third.withColumns({kind: F.count_if(F.col("kind") == kind).over(whole) for kind in ("header", "page")})
-    # the first line stays as bearer of the counts, whatever its kind; it is no line's next
-    fourth = third.where(ours | (F.col("pos") == 0)).withColumn("next", F.lead(F.struct("s", "item", "kind")).over(order))
-    marked = F.right("s", F.lit(1)).isin(*"-‐‑¬­ـ")
-    broken = F.when(marked & F.col("next.s").rlike(r"^[\p{L}\p{M}]"), F.col("s").rlike(BROKEN)).otherwise(False)
+    place, numbers = F.count("*").over(inside) - 1, F.count_if("bare").over(inside)
+    amounts = second.withColumn("block", block).withColumn("amount", (F.col("block") > 0) & (place == 2 * numbers)).where("bare AND amount").select("k", "pos")
+    amounts = _bounded(amounts.withColumn("amount", F.lit(True)))
+    pages = lines.where("mark > 0").select("k", "pos").join(heads.select("k", "pos"), ["k", "pos"], "left_anti").join(amounts, ["k", "pos"], "left_anti")
+    return _bounded(heads.unionByName(pages.select("k", "pos", F.lit("page").alias("kind")))), amounts
+
+
+def _packed(lines: DataFrame, marks: DataFrame, amounts: DataFrame) -> DataFrame:
+    """(k, broken, held): of each text the kept lines in order, each with what joins it to the next.
+
+    ``held`` has pos, s, how (0 last, 1 broken, 2 ends a paragraph, 3 runs on), and of a
+    line broken at a plain hyphen x and y, its last word and the first of the next.
+    """
+    s, order = F.col("s"), Window.partitionBy("k").orderBy("pos")
+    kept = lines.select("k", "pos", "s", "item").join(marks.select("k", "pos"), ["k", "pos"], "left_anti").join(amounts, ["k", "pos"], "left")
+    kept = kept.withColumn("amount", F.coalesce("amount", F.lit(False))).withColumn("next", F.lead(F.struct("s", "item", "amount")).over(order))
     last = F.right("s", F.lit(1))
-    ends = (s == "") | (F.col("next.s") == "") | (F.col("kind") == "amount") | (F.col("next.kind") == "amount") | last.isin(*".!?؟:：…") | _if(last.isin(*"»\"')]"), s.rlike(r"[.!?؟:：…][»\"')\]]+$"), F.lit(False)) | F.col("next.item")
+    broken = F.when(last.isin(*"-‐‑¬­ـ") & F.col("next.s").rlike(r"^[\p{L}\p{M}]"), F.col("s").rlike(BROKEN)).otherwise(False)
+    ends = (s == "") | (F.col("next.s") == "") | F.col("amount") | F.col("next.amount") | last.isin(*".!?؟:：…") | _if(last.isin(*"»\"')]"), s.rlike(r"[.!?؟:：…][»\"')\]]+$"), F.lit(False)) | F.col("next.item")
     how = F.when(F.col("next").isNull(), 0).when(F.col("broken"), 1).when(ends, 2).otherwise(3)
     plain = F.col("broken") & s.rlike(r"[-‐‑]$") & ~s.rlike("ـ.?$")
     x, y = F.lower(F.regexp_extract("s", rf"([\p{{L}}\p{{M}}]+)[{MARKS}]+$", 1)), F.lower(F.regexp_extract("next.s", r"^[\p{L}\p{M}]+", 0))
-    fifth = fourth.withColumn("broken", broken).select("k", "header", "page", ours.alias("ours"), "pos", "s", how.cast("tinyint").alias("how"), F.when(plain, x).alias("x"), F.when(plain, y).alias("y"))
-    held = F.sort_array(F.collect_list(F.when(F.col("ours"), F.struct("pos", "s", "how", "x", "y")))).alias("held")
-    return fifth.groupBy("k").agg(F.max("header").alias("header"), F.max("page").alias("page"), F.count_if(F.col("ours") & (F.col("how") == 1)).alias("broken"), held)
+    joined = kept.withColumn("broken", broken).select("k", "pos", "s", how.cast("tinyint").alias("how"), F.when(plain, x).alias("x"), F.when(plain, y).alias("y"))
+    return joined.groupBy("k").agg(F.count_if(F.col("how") == 1).alias("broken"), F.sort_array(F.collect_list(F.struct("pos", "s", "how", "x", "y"))).alias("held"))
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
@@ -253,6 +256,17 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(out) if small else out
 
 
+def _met(texts: DataFrame, suspects: DataFrame, few: bool) -> DataFrame:
+    """(k, b, right, often, odd, a, c): each suspect word b of the texts between its neighbours, with each candidate."""
+    spoken = texts.select("k", tokens(F.col("t")).alias("w"))
+    wrong = suspects.withColumnRenamed("word", "b")
+    if few:  # few words are met, so the neighbours are looked up after the join
+        met = spoken.select("k", "w", F.posexplode_outer("w").alias("at", "b")).join(F.broadcast(wrong), "b")
+        return met.select("k", "b", "right", "often", "odd", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("a"), F.coalesce(F.get("w", F.col("at") + 1), F.lit("")).alias("c"))
+    around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
+    return spoken.select("k", F.inline_outer(around)).where("b <> ''").join(wrong, "b").select("k", "b", "right", "often", "odd", "a", "c")
+
+
 def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(noise, repaired) of scanned texts.
 
@@ -263,7 +277,9 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     bigrams = cut(_bigrams(rows))
     suspects, words = _replacements(bigrams)
     suspects, few = _kept(suspects)
-    packed = cut(_packed(cut(_digests(_lines(rows)))))
+    lines = cut(_digests(_lines(rows)))
+    marks, amounts = _marked(lines)
+    packed = cut(_packed(lines, marks, amounts))
 
     # a compound of the corpus is met as two neighbouring words, besides these breaks, more often than as one
     breaks = packed.select("k", F.inline("held")).where("x IS NOT NULL").select("k", "pos", "x", "y")
@@ -276,17 +292,12 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     piece = lambda e: (
         F.when(hyphen(e), F.regexp_replace(e["s"], f"[{MARKS}]+$", "")).when(e["how"] <= 1, e["s"]).when(e["how"] == 2, F.concat(e["s"], F.lit("\n"))).otherwise(F.concat(e["s"], F.lit(" ")))
     )
-    flowed = flowed.select("k", F.array_join(F.transform("held", piece), "").alias("t"), (F.col("broken") - F.size("compounds")).alias("hyphen"), "header", "page")
+    flowed = flowed.select("k", F.array_join(F.transform("held", piece), "").alias("t"), (F.col("broken") - F.size("compounds")).alias("hyphen"))
 
     clean = flowed.select("k", "t").unionByName(rows.where(F.col("t").isNull() | ~F.col("t").contains("\n")))
-    spoken = clean.where("t <> ''").select("k", tokens(F.col("t")).alias("w"))
-    wrong = suspects.withColumnRenamed("word", "b")
-    if few:  # few words are met, so the neighbours are looked up after the join
-        met = spoken.select("k", "w", F.posexplode_outer("w").alias("at", "b")).join(F.broadcast(wrong), "b").select("k", "b", "right", "often", "odd", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("a"), F.coalesce(F.get("w", F.col("at") + 1), F.lit("")).alias("c"))
-    else:
-        around = F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"), F.concat(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), F.array(F.lit(""))).alias("c"))
-        met = spoken.select("k", F.inline_outer(around)).where("b <> ''").join(wrong, "b").select("k", "b", "right", "often", "odd", "a", "c")
-    met = cut(met)
+    # texts that hold headers and page numbers only
+    bare = rows.where(F.col("t").contains("\n")).select("k").join(packed.select("k"), "k", "left_anti").select("k", F.lit("").alias("t"))
+    met = cut(_met(clean.where("t <> ''"), suspects, few))
     # how often each candidate, and the form itself elsewhere (right is NULL), stands beside the same neighbours
     around = met.groupBy("b", "a", "c").agg(F.collect_set(F.struct("right", "often")).alias("rights"), F.first("odd").alias("odd"))
     itself = F.array(F.struct(F.lit(None).cast("string").alias("right"), F.lit(None).cast("bigint").alias("often")))
@@ -300,11 +311,11 @@ def repair(df: DataFrame, key: str = "article_id", text: str = "text") -> tuple[
     supported = met.select("k", "b", "a", "c").join(chosen, ["b", "a", "c"]).groupBy("k", "b").agg(F.max(F.struct("n", "often", "right")).alias("top")).groupBy("k").agg(F.collect_set(F.struct("b", F.col("top.right").alias("right"))).alias("wrong"))
     supported, some = _kept(supported)
 
-    lines = flowed.select("k", F.inline(F.array(*[F.struct(F.lit(c).alias("noise"), F.col(c).alias("n")) for c in ("hyphen", "header", "page")]))).where("n > 0")
-    noise = lines.unionByName(supported.select("k", F.lit("char").alias("noise"), F.size("wrong").cast("bigint").alias("n")))
+    noise = flowed.where("hyphen > 0").select("k", F.lit("hyphen").alias("noise"), F.col("hyphen").alias("n"))
+    noise = noise.unionByName(marks.groupBy("k", F.col("kind").alias("noise")).agg(F.count("*").alias("n"))).unionByName(supported.select("k", F.lit("char").alias("noise"), F.size("wrong").cast("bigint").alias("n")))
     fixed = F.aggregate(
         F.coalesce("wrong", F.expr("CAST(array() AS array<struct<b:string,right:string>>)")),
         F.col("t"),
         lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])\Q"), x["b"], F.lit(r"\E(?![\p{L}\p{M}\p{N}])")), x["right"]),
     )
-    return noise.withColumnRenamed("k", key), clean.join(F.broadcast(supported) if some else supported, "k", "left").select(F.col("k").alias(key), fixed.alias(text))
+    return noise.withColumnRenamed("k", key), clean.unionByName(bare).join(F.broadcast(supported) if some else supported, "k", "left").select(F.col("k").alias(key), fixed.alias(text))
