@@ -24,15 +24,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raqim.llm.confusables import unify
-from raqim.llm.similar import similar_pairs, within
+from raqim.llm.similar import similar_pairs
 from raqim.operators.lineage import cut
 
-#: Given names are broadcast up to so many forms, and joined by a shuffle beyond.
+#: Given names and generic words are broadcast up to so many forms together, and joined by a shuffle beyond.
 MOST_FORMS = 100_000
+#: Of two spellings of one given name the better one stands before at least so many times as many different names.
+SPELLING_RATIO = 5
 #: Of what stands beside a generic word, by spellings, at least this share is rarer than it; beside a distinctive word nearly all is more frequent.
 RARER_SHARE = 0.2
 
@@ -78,8 +80,8 @@ def family(parts: list[str], given: frozenset[str] | set[str]) -> str:
     return joined[2:] if joined.startswith("ال") and len(joined) > 5 else joined
 
 
-def parse(name: str, given: dict[str, int] | set[str]) -> list[tuple[str, str, str]]:
-    """(kind, given, family) readings of a person's name: full, initial, cut or open."""
+def parse(name: str, given: set[str] | frozenset[str], longest: int | None = None) -> list[tuple[str, str, str]]:
+    """(kind, given, family) readings of a person's name: full, initial, cut or open; ``longest`` is the length of the longest given name."""
     marked = words(bare(name))
     if len(marked) > 2 and marked[0][0] in ADDRESS:
         marked = marked[1:]
@@ -98,7 +100,8 @@ def parse(name: str, given: dict[str, int] | set[str]) -> list[tuple[str, str, s
             if marked[at][1] and len(parts[at]) > 2:
                 return [("cut", parts[at], family(rest, given))]
     whole = "".join(parts)
-    for size in range(min(len(whole) - 4, 24), 3, -1):  # a space lost or mistyped
+    most = max(map(len, given), default=0) if longest is None else longest
+    for size in range(min(len(whole) - 4, most), 3, -1):  # a space lost or mistyped
         if whole[:size] in given:
             return [("full", whole[:size], family([whole[size:]], given))]
         if whole[-size:] in given:
@@ -108,15 +111,14 @@ def parse(name: str, given: dict[str, int] | set[str]) -> list[tuple[str, str, s
     return [("open", "".join(head), family(rest, given)) for head, rest in ((parts[:1], parts[1:]), (parts[:2], parts[2:]), (parts[-1:], parts[:-1]), (parts[-2:], parts[:-2])) if rest]
 
 
-def distinctive(name: str, generic: set[str]) -> str:
+def parts_of(name: str) -> list[tuple[str, str]]:
+    """(word as written, folded word) of an organisation's name."""
+    return [(raw, w) for raw in re.sub(r"[-'’]", "", name).split() if (w := "".join(x for x, _ in words(raw)))]
+
+
+def distinctive(name: str, generic: set[str] | frozenset[str]) -> str:
     """The words of an organisation's name that are neither generic nor a short capital abbreviation."""
-    own = []
-    for raw in re.sub(r"[-'’]", "", name).split():
-        w = "".join(x for x, _ in words(raw))
-        near = len(w) > 4 and any(abs(len(g) - len(w)) < 2 and within(w, g) for g in generic if g[0] == w[0] or g[-1] == w[-1])
-        if w and w not in generic and not near and not (len(w) <= 3 and raw.isupper()):
-            own.append(w)
-    return "".join(own)
+    return "".join(w for raw, w in parts_of(name) if w not in generic and not (len(w) <= 3 and raw.isupper()))
 
 
 def _leaders(pairs: DataFrame, least: int) -> DataFrame:
@@ -162,12 +164,12 @@ def _ends(name: str):
             yield "".join(parts[-size:]), "".join(parts[:-size]), "0"
 
 
-def _asked(name: str):
+def _asked(name: str, longest: int):
     """(name, form): every form that ``parse`` may look up for a name."""
     parts = [w for w, _ in words(bare(name))]
     whole = "".join(parts[1:] if len(parts) > 2 and parts[0] in ADDRESS else parts)
     forms = {"".join(parts[i : i + size]) for size in (1, 2, 3) for i in range(len(parts) - size + 1)}
-    forms |= {x for size in range(4, 25) for x in (whole[:size], whole[-size:])}
+    forms |= {x for size in range(4, min(len(whole), longest) + 1) for x in (whole[:size], whole[-size:])}
     for form in forms:
         yield name, form
 
@@ -208,27 +210,37 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     spelled = names.where(person).select("name").distinct()
     pairs = spelled.mapInArrow(_rows(_ends, "form string, partner string, lead string"), "form string, partner string, lead string")
     leaders = cut(_leaders(pairs, least_families))
-    small = leaders.count() <= MOST_FORMS
-    given = {r.form for r in leaders.collect()} if small else None
-    beside = names.where(~person).select("name").distinct().mapInArrow(_rows(_beside, "form string, partner string"), "form string, partner string")
-    generic = {r.form for r in _generic(beside, 20).collect()} | {fold(w) for w in LEGAL}
-    shared = df.sparkSession.sparkContext.broadcast((given, generic))
+    longest = leaders.agg(F.max(F.length("form"))).first()[0] or 0
+    agencies = names.where(~person).select("name").distinct()
+    beside = agencies.mapInArrow(_rows(_beside, "form string, partner string"), "form string, partner string")
+    # generic words, those of legal form among them, and words one edit away that begin or end alike
+    generic = _generic(beside, 20).union(df.sparkSession.createDataFrame([(fold(w),) for w in sorted(LEGAL)], "form string")).distinct()
+    generic = cut(generic)
+    said = cut(agencies.mapInArrow(_rows(lambda name: [(name, w) for _, w in parts_of(name)], "name string, form string"), "name string, form string"))
+    near = similar_pairs(said.select("form"), (), "form", 4, generic.select(F.col("form").alias("value"))).where(F.length("value") > 4)
+    alike = (F.left("value", F.lit(1)) == F.left("other", F.lit(1))) | (F.right("value", F.lit(1)) == F.right("other", F.lit(1)))
+    generic = cut(generic.union(near.where(alike).select("value")).distinct())
+
+    raw = names.select("id", "type", "name", person.alias("p"))
+    if leaders.count() + generic.count() <= MOST_FORMS:
+        held = frozenset(r.form for r in leaders.collect()), frozenset(r.form for r in generic.collect())
+        raw = raw.withColumn("known", F.lit(None).cast("array<string>"))
+    else:  # each name beside those of its forms that are given names or generic words
+        held = None
+        asked = spelled.mapInArrow(_rows(lambda name: _asked(name, longest), "name string, form string"), "name string, form string").join(leaders.select("form"), "form")
+        told = asked.select("name", "form", F.lit(True).alias("p")).union(said.join(generic, "form").select("name", "form", F.lit(False)))
+        raw = raw.join(told.groupBy("name", "p").agg(F.collect_set("form").alias("known")), ["name", "p"], "left").select("id", "type", "name", "p", "known")
+    shared = df.sparkSession.sparkContext.broadcast(held)
 
     read_schema = "id string, type string, name string, kind string, given string, family string"
 
     def read(id_, type_, name, is_person, known):
-        given, generic = shared.value
+        words_known = shared.value[0 if is_person else 1] if shared.value else frozenset(known or ())
         if is_person:
-            return [(id_, type_, name, *r) for r in parse(name, set(known or ()) if given is None else given) if r[2]]
-        own = distinctive(name, generic)
+            return [(id_, type_, name, *r) for r in parse(name, words_known, longest) if r[2]]
+        own = distinctive(name, words_known)
         return [(id_, type_, name, "full", "", own)] if own else [(id_, type_, name, "open", "", fold(name))]
 
-    raw = names.select("id", "type", "name", person.alias("p"))
-    if small:
-        raw = raw.withColumn("known", F.lit(None).cast("array<string>"))
-    else:
-        asked = spelled.mapInArrow(_rows(_asked, "name string, form string"), "name string, form string")
-        raw = raw.join(asked.join(leaders, "form").groupBy("name").agg(F.collect_set("form").alias("known")), "name", "left").select("id", "type", "name", "p", "known")
     parsed = raw.mapInArrow(_rows(read, read_schema), read_schema)
     parsed = cut(parsed.join(names, ["id", "type", "name"]))
     full = parsed.where("kind = 'full'").groupBy("type", "given", "family").agg(F.sum("n").alias("weight"))
@@ -237,11 +249,11 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
 
     # one edit in the family of the same given name, one edit in the given name of the same family
     family_edges = similar_pairs(full, ("type", "given"), "family", 5).select(node("given", "value").alias("a"), node("given", "other").alias("b"))
-    # two common given names are no spellings of each other
-    common = leaders.where(F.col("n") >= (leaders.agg(F.max("n")).first()[0] or 0) / 5).select("form")
+    # of two spellings of a given name one is far rarer; both common beside each other are two names
     given_pairs = similar_pairs(full.where("given <> ''"), ("type", "family"), "given")
-    both_common = common.select(F.col("form").alias("value"), F.lit(True).alias("v")), common.select(F.col("form").alias("other"), F.lit(True).alias("o"))
-    given_pairs = given_pairs.join(both_common[0], "value", "left").join(both_common[1], "other", "left").where("v IS NULL OR o IS NULL")
+    partners = lambda side, n: leaders.select(F.col("form").alias(side), F.col("n").alias(n))
+    given_pairs = given_pairs.join(partners("value", "v"), "value", "left").join(partners("other", "o"), "other", "left")
+    given_pairs = given_pairs.where("v IS NULL OR o IS NULL").unionByName(given_pairs.where(F.least("v", "o") * SPELLING_RATIO < F.greatest("v", "o")))
     given_edges = given_pairs.select(node("value", "family").alias("a"), node("other", "family").alias("b"))
 
     # nicknames: forms whose families nearly always hold one certain, more frequent given name
@@ -250,7 +262,12 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     held = cut(full.join(forms.where("families >= 3"), "given").select("type", "family", "given", "families"))
     rare = held.select("type", "family", F.col("given").alias("nick"), F.col("families").alias("fn"))
     usual = held.where("families >= 6").select("type", "family", F.col("given").alias("proper"), F.col("families").alias("fp"))
-    together = rare.join(usual, ["type", "family"]).where("fp >= 2 * fn").groupBy("nick", "proper", "fn", "fp").agg(F.count("*").alias("both"))
+    # whoever holds alias_share of a form's families holds one of any few more than the rest of them: of the least common ones
+    heads = rare.join(usual.groupBy("type", "family").agg(F.count("*").alias("held")), ["type", "family"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("nick").orderBy("held", "type", "family"))
+    heads = heads.withColumn("place", place).where(F.col("place") <= F.col("fn") - F.ceil(alias_share * F.col("fn")) + 1)
+    tried = heads.join(usual, ["type", "family"]).where("fp >= 2 * fn AND nick <> proper").select("nick", "proper", "fn", "fp").distinct()
+    together = cut(tried).join(rare.drop("fn"), "nick").join(usual.drop("fp"), ["type", "family", "proper"]).groupBy("nick", "proper", "fn", "fp").agg(F.count("*").alias("both"))
     alias = together.where((F.col("both") >= alias_share * F.col("fn")) & (F.col("both") >= 3)).groupBy("nick").agg(F.max_by("proper", F.struct("both", "fp", "proper")).alias("proper"))
     alias = cut(alias)
     alias_edges = full.join(alias, full["given"] == alias["nick"]).select(F.col("node").alias("a"), node("proper", "family").alias("b"))
@@ -270,7 +287,7 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     roots = _jump(edges, full.select("node", "weight"))
     # initials and cut-off names join the only person they fit
     heads = roots.select(F.split("root", "\t").alias("r"), "root").distinct().select(F.col("r")[0].alias("type"), F.col("r")[1].alias("g"), F.col("r")[2].alias("family"), "root").where("g <> ''")
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("g"), F.lit(8)))).alias("size")
+    sizes = F.explode(F.sequence(F.lit(1), F.length("g"))).alias("size")
     fits = heads.select("type", "family", "g", "root", sizes).select("type", "family", F.expr("substring(g, 1, size)").alias("given"), "root")
     only = fits.groupBy("type", "family", "given").agg(F.min("root").alias("root"), F.count("*").alias("persons")).where("persons = 1")
     short = parsed.where("kind IN ('initial', 'cut')").select("id", "type", "given", "family").distinct()
