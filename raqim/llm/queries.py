@@ -106,6 +106,15 @@ def p7_consensus(spark: SparkSession, directory: str) -> DataFrame:
     return _versions(spark, directory, "votes")
 
 
+def p7_survivors(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per article with several rows: the best text by trust, and the spelling of its number that most rows agree on."""
+    articles = table(spark, directory, "articles", "article_id", "document_id", "number")
+    group = {"document_id": F.col("document_id"), "number": article_number(F.col("number"))}
+    spelled = best_version(articles.withColumn("spelled", F.col("number")), group, text="spelled", policy="votes", fit=lambda c: c.isNotNull())
+    texts = _versions(spark, directory, "trust")
+    return texts.join(spelled.select("document_id", "number", "spelled"), ["document_id", "number"]).select("document_id", "number", "spelled", "article_id", "text", "versions")
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode(table(spark, directory, "documents", "doc_id", "text"), read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
 
@@ -161,6 +170,7 @@ QUERIES = {
     "p5_entities": p5_entities,
     "p7_found": p7_found,
     "p7_consensus": p7_consensus,
+    "p7_survivors": p7_survivors,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_spans": p9_spans,

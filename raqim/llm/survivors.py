@@ -1,30 +1,33 @@
 """The best representative of each group of versions, by token-level consensus.
 
-Versions of a group are collapsed to distinct texts with counts; tokens are aligned into
-columns, every column takes the token of greatest weight, and the text nearest that
-consensus represents the group. Weights say what "best" means.
+Versions of a group are collapsed to distinct values with counts; every other value is
+aligned by itself to a leading one, which gives the columns of the group, and only where
+they differ it casts votes, summed by column over the whole group. The existing value
+nearest the tokens of greatest weight represents the group. No task holds a group, and its
+size does not change the result. Weights say what "best" means.
 
-``trust`` gives each text more weight than all those after it together (most trusted
-source, latest, smallest key), so that the consensus is led by the first usable one and
-others only fill columns it leaves even. Texts are dealt to blocks of about ``block`` by
-hash, aligned progressively there, and the representatives of blocks meet in further
-rounds; no task ever holds more than a block, and the first text survives all rounds.
+``votes`` weighs a value by its number of copies; the leading value is the one with most.
 
-``votes`` weighs a text by its number of copies. Each text is aligned by itself to the
-usable one with most copies; only where they differ it casts votes, which are summed by
-column over the whole group. No task holds a group, and its size does not change the result.
+``trust`` gives each text more weight than all those after it together (most trusted
+source, latest, smallest key). Every column then takes the token of the first usable text,
+so that this one is nearest the consensus and no sums are needed; what the alignment
+decides is whether it is whole. A text that runs through the columns of another usable one
+and breaks off where that goes on within the sentence is cut off, whatever its last sign,
+and the next one leads.
 
 Defined cases: rows without a group value are left out; a usable text is one with letters
 that is no filler and ends a sentence; where no text of a group is usable all take part;
 ties go to the earlier row in the order above; a null source or time comes last; equal
-rows are copies of one text; other columns are ignored; an empty table gives no rows.
+rows are copies of one value; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,58 +54,79 @@ def usable(text: Column) -> Column:
     return F.coalesce(whole & bare.rlike(r"\p{L}") & ~F.lower(bare).isin(*FILLERS), F.lit(False))
 
 
-def align(columns: list[dict[str, float]], leading: list[str], tokens: list[str], weight: float) -> tuple[list[dict[str, float]], list[str]]:
-    """Vote ``tokens`` into ``columns``; those that fit none make columns of their own."""
-    if leading == tokens:
-        for c, t in zip(columns, tokens):
-            c[t] = c.get(t, 0.0) + weight
-        return columns, leading
-    total = sum(columns[0].values()) if columns else 0.0
-    out, lead = [], []
-    for tag, a, b, c, d in SequenceMatcher(None, leading, tokens, autojunk=False).get_opcodes():
-        for i in range(max(b - a, d - c)):
-            column = columns[a + i] if a + i < b else {"": total}
-            token = tokens[c + i] if c + i < d else ""
-            column[token] = column.get(token, 0.0) + weight
-            out.append(column)
-            lead.append(leading[a + i] if a + i < b else token)
-    return out, lead
-
-
-def consensus(texts: list[str], weights: list[float]) -> list[str]:
-    """The tokens of greatest weight, column by column; texts in falling order of weight."""
-    leading = texts[0].split()
-    columns = [{t: weights[0]} for t in leading]
-    for text, weight in zip(texts[1:], weights[1:]):
-        columns, leading = align(columns, leading, text.split(), weight)
-    return [t for c in columns if (t := max(c, key=c.get))]
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of tokens met once in each of both, as many as run forward in both."""
+    once = lambda x: {t: i for i, t in enumerate(x) if n[t] == 1} if (n := Counter(x)) else {}
+    left, right = once(a), once(b)
+    pairs = [(i, right[t]) for t, i in left.items() if t in right]
+    # longest increasing run of the second places
+    tops: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tops, j)
+        tops[at : at + 1], ends[at : at + 1] = [j], [k]
+        back.append(ends[at - 1] if at else -1)
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def differing(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """(i, j, k, l): ``a[i:j]`` stands where ``b`` has ``b[k:l]``; what lies between is equal.
+
+    Equal ends are set aside and tokens met once anchor the rest, so that the quadratic
+    comparison meets only the stretches between.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    todo = [(0, len(a), 0, len(b), True)]
+    while todo:
+        i, j, k, l, anchored = todo.pop()
+        while i < j and k < l and a[i] == b[k]:
+            i, k = i + 1, k + 1
+        while i < j and k < l and a[j - 1] == b[l - 1]:
+            j, l = j - 1, l - 1
+        if i == j or k == l:
+            out += [(i, j, k, l)] if i < j or k < l else []
+        elif anchored and (j - i) * (l - k) > 10_000 and (places := _anchors(a[i:j], b[k:l])):
+            edges = [(i, k), *((i + x, k + y) for x, y in places), (j, l)]
+            todo += [(p, r, q, s, len(places) > 1) for (p, q), (r, s) in zip(edges, edges[1:])]
+        else:
+            out += [(i + p, i + q, k + r, k + s) for tag, p, q, r, s in SequenceMatcher(None, a[i:j], b[k:l], autojunk=False).get_opcodes() if tag != "equal"]
+    return sorted(out)
 
 
 def distance(tokens: list[str], agreed: list[str]) -> float:
-    if tokens == agreed:
-        return 0.0
-    return 1.0 - SequenceMatcher(None, tokens, agreed, autojunk=False).ratio()
-
-
-def nearest(texts: list[str], weights: list[float]) -> int:
-    """Place of the text nearest the consensus, the first of equals."""
-    if len(texts) == 1:
-        return 0
-    agreed = consensus(texts, weights)
-    return min(range(len(texts)), key=lambda i: (distance(texts[i].split(), agreed), i))
+    """Share of the tokens of both that have no equal in the other."""
+    apart = sum(j - i + l - k for i, j, k, l in differing(tokens, agreed))
+    return apart / max(len(tokens) + len(agreed), 1)
 
 
 def differences(base: list[str], tokens: list[str]) -> list[tuple[int, int, str]]:
     """(at, further, token) where ``tokens`` differ from ``base``: the place of the base, or one of those inserted after it."""
     out = []
-    for tag, a, b, c, d in SequenceMatcher(None, base, tokens, autojunk=False).get_opcodes():
-        if tag != "equal":
-            for k in range(max(b - a, d - c)):
-                at, further = (a + k, 0) if a + k < b else (b - 1, 1 + k - (b - a))
-                out.append((at, further, tokens[c + k] if c + k < d else ""))
+    for a, b, c, d in differing(base, tokens):
+        for k in range(max(b - a, d - c)):
+            at, further = (a + k, 0) if a + k < b else (b - 1, 1 + k - (b - a))
+            out.append((at, further, tokens[c + k] if c + k < d else ""))
     return out
 
 
+def goes_on(base: list[str], tokens: list[str]) -> bool:
+    """True if ``tokens`` run through all columns of ``base`` and carry on its last sentence: with a small letter or a digit."""
+    parts = differing(base, tokens)
+    if len(parts) != 1 or not base:
+        return False
+    a, b, c, d = parts[0]
+    if b != len(base) or d != len(tokens) or d - c <= b - a or b - a > 1:
+        return False
+    if b - a == 1:  # the last word itself is broken off
+        return len(tokens[c]) > len(base[a].rstrip(".")) > 0 and tokens[c].startswith(base[a].rstrip("."))
+    return tokens[c][0].islower() or tokens[c][0].isdigit()
+
+
 def edited(base: list[str], edits: list[tuple[int, int, str]]) -> list[str]:
     """``base`` with the tokens of ``edits`` in their places."""
     places = {(i, 0): t for i, t in enumerate(base)} | {(i, j): t for i, j, t in edits}
@@ -149,48 +173,51 @@ def _voted(texts: DataFrame, names: list[str]) -> DataFrame:
     return best.join(held.select(*names, "versions"), names).select(*names, F.struct(F.col("best.id").alias("id"), F.col("best.text").alias("text"), F.col("versions").alias("copies")).alias("row"))
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], policy: str) -> Iterator[pa.RecordBatch]:
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        chosen = []
-        for held in batch.column("held").to_pylist():
-            held.sort(key=lambda r: (r["late"], r["id"]) if policy == "trust" else (r["late"][0], -r["copies"], r["late"], r["id"]))
-            best = [r for r in held if r["late"][0] == held[0]["late"][0]]  # the usable ones, or all
-            weights = [2.0 ** -min(i, 1000) for i in range(len(best))] if policy == "trust" else [float(r["copies"]) for r in best]
-            row = dict(best[nearest([r["text"] or "" for r in best], weights)])
-            row["copies"] = sum(r["copies"] for r in held)
-            chosen.append(row)
-        keys = [batch.column(i) for i in range(batch.num_columns - 1)]
-        kind = batch.schema.field("held").type.value_type
-        yield pa.record_batch([*keys, pa.array(chosen, kind)], [*batch.schema.names[:-1], "row"])
-
-
-def best_version(df: DataFrame, group: dict[str, Column], key: str = "article_id", text: str = "text", order: tuple[Column, ...] = (), policy: str = "trust", block: int = 64) -> DataFrame:
+        n = batch.num_columns - 2
+        more = [goes_on(b.split(), t.split()) for b, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+        yield batch.select(range(n)).filter(pa.array(more, pa.bool_()))
+
+
+def _trusted(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(names, row) of the first usable text of each group that no other one shows to be cut off."""
+    texts = texts.select(*names, "text", F.col("first.late").alias("late"), F.col("first.id").alias("id"), "copies", F.col("first.late")[0].alias("use"))
+    texts = cut(texts)
+    done, dropped = [], None
+    while True:
+        left = texts if dropped is None else texts.join(dropped.select(*names).distinct(), names, "left_semi").join(dropped.select(*names, "id", F.lit(1).alias("off")), [*names, "id"], "left")
+        left = left if dropped is not None else left.withColumn("off", F.lit(None).cast("int"))
+        order = F.struct(F.when(F.col("off").isNull(), F.col("use")).otherwise(1).alias("use"), "late", "id")
+        led = left.groupBy(*names).agg(F.min_by(F.struct("id", "text", "use", "off"), order).alias("best"), F.sum("copies").alias("versions"), F.count_if((F.col("use") == 0) & F.col("off").isNull()).alias("usable"))
+        led = cut(led)
+        # a leading text is compared with each other usable one, and with those found cut off before by none
+        asked = left.where("use = 0 AND off IS NULL").join(led.where("usable > 1").select(*names, F.col("best.id").alias("_id"), F.col("best.text").alias("base")), names).where("id <> _id").select(*names, F.col("_id").alias("id"), "base", "text")
+        kinds = ", ".join(f"`{n}` {asked.schema[n].dataType.simpleString()}" for n in [*names, "id"])
+        found = cut(asked.mapInArrow(_carried, kinds).distinct())
+        row = F.struct(F.col("best.id").alias("id"), F.col("best.text").alias("text"), F.col("versions").alias("copies")).alias("row")
+        if found.isEmpty():
+            done.append(led.select(*names, row))
+            break
+        done.append(led.join(found.select(*names), names, "left_anti").select(*names, row))
+        dropped = found if dropped is None else cut(dropped.join(found.select(*names), names, "left_semi").unionByName(found))
+    return reduce(DataFrame.unionByName, done)
+
+
+def best_version(df: DataFrame, group: dict[str, Column], key: str = "article_id", text: str = "text", order: tuple[Column, ...] = (), policy: str = "trust", fit: Callable[[Column], Column] = usable) -> DataFrame:
     """(group columns, ``key``, ``text``, versions) of each group with two rows or more.
 
-    ``order`` are BIGINT columns that decide between usable rows, smallest first.
+    ``order`` are BIGINT columns that decide between usable rows, smallest first; ``fit``
+    says what values are usable, by default for texts.
     """
     names = list(group)
-    late = F.array(F.when(usable(F.col(text)), 0).otherwise(1).cast("bigint"), *[F.coalesce(c.cast("bigint"), F.lit(2**62)) for c in order])
+    late = F.array(F.when(fit(F.col(text)), 0).otherwise(1).cast("bigint"), *[F.coalesce(c.cast("bigint"), F.lit(2**62)) for c in order])
     rows = df.select(*[c.alias(n) for n, c in group.items()], late.alias("late"), F.col(key).alias("id"), F.col(text).alias("t"))
     rows = rows.where(F.concat(*[F.col(n).cast("string") for n in names]).isNotNull())
     several = cut(rows.groupBy(*names).agg(F.count("*").alias("versions")).where("versions > 1"))
-    size = several.agg(F.sum(sum((F.length(F.col(n).cast("string")) for n in names), F.lit(8))), F.max("versions")).first()
+    size = several.agg(F.sum(sum((F.length(F.col(n).cast("string")) for n in names), F.lit(8)))).first()
     # only rows of groups with several move; the groups are broadcast if proven small
     rows = rows.join(F.broadcast(several) if (size[0] or 0) <= GROUP_CHARS else several, names)
-    if policy == "votes":
-        texts = rows.groupBy(*names, F.col("t").alias("text")).agg(F.min(F.struct("late", "id")).alias("first"), F.count("*").alias("copies"))
-        return _voted(texts, names).select(*names, F.col("row.id").alias(key), F.col("row.text").alias(text), F.col("row.copies").alias("versions"))
-    blocks = F.ceil(F.col("versions") / block)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("t"), blocks))
-    texts = rows.groupBy(*names, "part", F.col("t").alias("text")).agg(F.min(F.struct("late", "id")).alias("first"), F.count("*").alias("copies"))
-    held = texts.select(*names, "part", F.struct(F.col("first.late").alias("late"), F.col("first.id").alias("id"), "text", "copies").alias("row"))
-    most = math.ceil((size[1] or 1) / block)
-    while True:
-        packed = held.groupBy(*names, "part").agg(F.collect_list("row").alias("held"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "held")
-        row = packed.schema["held"].dataType.elementType.simpleString()
-        held = packed.mapInArrow(lambda batches: _resolve(batches, policy), f"{schema}, row {row}")
-        if most <= 1:
-            break
-        held, most = held.withColumn("part", F.floor(F.col("part") / block)), math.ceil(most / block)
-    return held.select(*names, F.col("row.id").alias(key), F.col("row.text").alias(text), F.col("row.copies").alias("versions"))
+    texts = rows.groupBy(*names, F.col("t").alias("text")).agg(F.min(F.struct("late", "id")).alias("first"), F.count("*").alias("copies"))
+    chosen = _voted(texts, names) if policy == "votes" else _trusted(texts, names)
+    return chosen.select(*names, F.col("row.id").alias(key), F.col("row.text").alias(text), F.col("row.copies").alias("versions"))

@@ -76,12 +76,35 @@ def test_consensus_takes_the_common_version(spark):
     texts = ["le chat noir dort ici.", "le chat gris dort ici.", "le chien noir dort ici.", "le chat noir dort ici ce soir."]
     rows = [(i, 1, "1", t, 1, 0) for i, t in enumerate(texts)]
     assert best(spark, rows, policy="votes") == {(1, "1"): (0, 4)}
-    assert survivors.consensus(texts, [1.0] * 4) == texts[0].split()
 
 
-def test_many_versions_are_resolved_in_blocks(spark):
+def test_a_text_that_another_carries_on_is_cut_off(spark):
+    whole = "Le conseil statue selon l'art. 5 du code. Il publie."
+    rows = [(1, 1, "1", "Le conseil statue selon l'art.", 1, 9), (2, 1, "1", whole, 2, 1), (3, 1, "1", "Le conseil statue.", 3, 1)]
+    rows += [(4, 2, "1", "Le conseil statue.", 1, 9), (5, 2, "1", "Le conseil statue. Il publie.", 2, 1)]  # a shorter version, and whole
+    rows += [(6, 3, "1", "Le cons.", 1, 1), (7, 3, "1", "Le conseil statue selon l'art.", 2, 1), (8, 3, "1", whole, 3, 1)]
+    assert best(spark, rows) == {(1, "1"): (2, 3), (2, "1"): (4, 2), (3, "1"): (8, 3)}
+
+
+def test_large_groups(spark):
     rows = [(i, 1, "1", f"mot {i} et la suite du texte.", 5, i) for i in range(600)] + [(600, 1, "1", "le plus sûr.", 1, 0)]
-    assert best(spark, rows, block=16) == {(1, "1"): (600, 601)}
+    assert best(spark, rows) == {(1, "1"): (600, 601)}
+
+
+def test_alignment(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") + str(rng.randrange(n)) for _ in range(rng.randrange(300))] for n in (rng.choice((1, 3, 40)),) * 2)
+        b = rng.choice((b, a[:40] + b[:5] + a[60:], a[::-1], a[:10]))
+        parts = survivors.differing(a, b)
+        out, at = [], 0
+        for i, j, k, l in parts:
+            out += a[at:i] + b[k:l]
+            at = j
+        assert out + a[at:] == b
+        assert survivors.edited(a, survivors.differences(a, b)) == b
+    long = [str(i) for i in range(200_000)]
+    assert survivors.differing(long, long[:1000] + ["x"] + long[1001:150_000]) == [(1000, 1001, 1000, 1001), (150_000, 200_000, 150_000, 150_000)]
 
 
 def test_votes_do_not_depend_on_the_size_of_the_group(spark):
@@ -91,7 +114,7 @@ def test_votes_do_not_depend_on_the_size_of_the_group(spark):
     rows = [(k, t) for k, t in enumerate(t for t, n in texts for _ in range(n))]
     last = next(k for k, t in rows if t == "a b c d e f g h fin.")
     made = [(k, 1, "1", t, 1, 0) for k, t in rows]
-    assert {best(spark, made, policy="votes", block=b)[1, "1"] for b in (4, 64, 1000)} == {(last, len(rows))}
+    assert best(spark, made, policy="votes")[1, "1"] == (last, len(rows))
     assert best(spark, [(1, 1, "1", None, 1, 0), (2, 1, "1", "", 1, 0)], policy="votes") == {(1, "1"): (1, 2)}
     base = "le chat dort".split()
     for other in ("un le chat noir dort ici ce soir", "chat", "", "le chat dort"):
