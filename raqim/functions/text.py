@@ -113,6 +113,11 @@ def titled_law_number(*titles: Column) -> Column:
     return F.coalesce(*[found(ascii_digits(t), r"القانون\s+رقم\s*(\d+(?:[./]\d+)*)", 1) for t in titles])
 
 
+def referenced_law(references: Column) -> Column:
+    """The number of the first of ``references`` (array of struct with type and number) whose type names a law."""
+    return F.get(F.filter(references, lambda r: r["type"].contains("قانون")), F.lit(0))["number"]
+
+
 def law_aliases(title: Column) -> Column:
     """All numbers that follow القانون .. رقم in a title."""
     return F.array_distinct(F.transform(F.regexp_extract_all(ascii_digits(title), F.lit(r"القانون[^\d]*رقم\s*([\d.]+)"), F.lit(1)), canonical_num))

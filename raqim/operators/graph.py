@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import escape, quoteattr
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raqim.functions.text import html_escape
 from raqim.functions.vocabulary import RELATION_LABELS, lookup
 
 
@@ -66,16 +65,40 @@ def entity_references(relations: DataFrame) -> DataFrame:
     return neighbours(relations).groupBy("document_id", "node").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("others"))
 
 
+def entity_arrays(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(document_id, ent_id, refs, rels, articles): of each entity what it is related to, either way round, in order.
+
+    ``refs`` are the ids of the others, ``rels`` the ids of the relations, ``articles`` the ids of those that are an ARTICLE.
+    """
+    rows = relations.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("document_id", "ord", "relation_id", "source_id", "target_id")
+    ends = F.array(F.struct(F.col("source_id").alias("ent_id"), F.col("target_id").alias("other")), F.struct(F.col("target_id").alias("ent_id"), F.col("source_id").alias("other")))
+    both = rows.select("document_id", "ord", "relation_id", F.inline(ends))
+    kinds = nodes_of(entities).select("document_id", F.col("ent_id").alias("other"), (F.col("type") == "ARTICLE").alias("article"))
+    held = F.array_sort(F.collect_list(F.struct("ord", "other", "relation_id", "article")))
+    took = both.join(kinds, ["document_id", "other"], "left").groupBy("document_id", "ent_id").agg(held.alias("h"))
+    join = lambda field, rows: F.array_join(F.transform(rows, lambda x: x[field]), ",")
+    return took.select("document_id", "ent_id", join("other", F.col("h")).alias("refs"), join("relation_id", F.col("h")).alias("rels"), join("other", F.filter("h", lambda x: x["article"])).alias("articles"))
+
+
+def _data(**values: Column) -> Column:
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'<data key="{k}">'), html_escape(v), F.lit("</data>"))) for k, v in values.items()]
+    return F.concat_ws("", *parts)
+
+
+def graphml_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(part, value): the lines of a GraphML file; parts 0 and 3 are its head and foot, 1 nodes, 2 edges."""
+    keys = [f'<key id="{at}" for="{kind}" attr.name="{at}" attr.type="string"/>' for at, kind in (("document", "node"), ("type", "node"), ("text", "node"), ("normalized", "node"), ("relation", "edge"))]
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">']
+    frame = entities.sparkSession.createDataFrame([(0, "\n".join(head)), (3, "</graph>\n</graphml>")], "part int, value string")
+    n = F.struct(F.col("document_id").cast("string").alias("d"))
+    nodes = nodes_of(entities).select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), F.col("entity_id").cast("string"), F.lit('">'), _data(document=n["d"], type=F.col("type"), text=F.col("text"), normalized=F.col("normalized")), F.lit("</node>")).alias("value"))
+    edges = edges_of(entities, relations).select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), F.col("source").cast("string"), F.lit('" target="'), F.col("target").cast("string"), F.lit('">'), _data(relation=F.coalesce("type", F.lit(""))), F.lit("</edge>")).alias("value"))
+    return frame.unionByName(nodes).unionByName(edges)
+
+
 def write_graphml(entities: DataFrame, relations: DataFrame, path: str) -> None:
-    """A GraphML file of the whole graph. Rows are streamed partition by partition, never held together."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for at, kind in (("document", "node"), ("type", "node"), ("text", "node"), ("normalized", "node"), ("relation", "edge")):
-            out.write(f'<key id="{at}" for="{kind}" attr.name="{at}" attr.type="string"/>\n')
-        out.write('<graph edgedefault="directed">\n')
-        for r in nodes_of(entities).toLocalIterator():
-            data = "".join(f'<data key="{k}">{escape(str(v))}</data>' for k, v in (("document", r.document_id), ("type", r.type), ("text", r.text), ("normalized", r.normalized)) if v is not None)
-            out.write(f"<node id={quoteattr(str(r.entity_id))}>{data}</node>\n")
-        for r in edges_of(entities, relations).toLocalIterator():
-            out.write(f'<edge source={quoteattr(str(r.source))} target={quoteattr(str(r.target))}><data key="relation">{escape(r.type or "")}</data></edge>\n')
-        out.write("</graph>\n</graphml>\n")
+    """The whole graph as GraphML: text files in the folder ``path`` that make one file in the order of their names.
+
+    The executors write them; a range of ``part`` keeps head, nodes, edges and foot in order.
+    """
+    graphml_lines(entities, relations).repartitionByRange("part", F.xxhash64("value")).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from raqim.functions.numbers import ascii_digits, canonical_num, found, law_number
 from raqim.functions.text import entity_id, normalize_arabic, parse_date
 from raqim.functions.vocabulary import NAME_TYPES
+from raqim.operators.tree import numbers_between
 
 #: The pattern of a law with its number.
 _LAW = r"(الظهير الشريف|القانون التنظيمي|القانون|الدستور|المرسوم|مرسوم|القرار|قرار)\s*(?:رقم\s*)?(\d+(?:[./]+\d+)*)"
@@ -110,48 +111,59 @@ _LIST = re.compile(r"(?:الفصلين|الفصول)\s*:?[\s ]*((?:[0-9٠-٩]+(
 _NUMBER = re.compile("[0-9٠-٩]+")
 
 
-def article_references(text: str, most: int = 1000) -> list[tuple]:
-    """(kind, start, end, normalized, number, number_start, number_end) of each number of each range or list.
+def article_references(text: str) -> list[tuple]:
+    """(kind, start, end, normalized, first, last, first_start, first_end, last_start, last_end) of each range, and of each number of a list.
 
-    Bounds are ordered; inner numbers of a range have no place (-1). A range of more than
-    ``most`` numbers gives its two bounds only.
+    Bounds are ordered. Numbers too long for a BIGINT are no article numbers.
     """
     out = []
     for m in _RANGE.finditer(text):
-        a, b = sorted((int(m[1]), int(m[2])))
-        where = {int(n[0]): (m.start() + n.start(), m.start() + n.end()) for n in _NUMBER.finditer(m[0])}
-        numbers = range(a, b + 1) if b - a < most else (a, b)
-        out += [("range", m.start(), m.end(), f"الفصل {a}-{b}", n, *where.get(n, (-1, -1))) for n in numbers]
+        places = [(int(n[0]), m.start() + n.start(), m.start() + n.end()) for n in _NUMBER.finditer(m[0])]
+        (a, *x), (b, *y) = sorted(places[:2], key=lambda p: p[0])
+        x = y if a == b else x
+        out.append(("range", m.start(), m.end(), f"الفصل {a}-{b}", a, b, *x, *y))
     for m in _LIST.finditer(text):
         found = [(int(n[0]), m.start(1) + n.start(), m.start(1) + n.end()) for n in _NUMBER.finditer(m[1])]
         name = "الفصل " + "_".join(str(n) for n, _, _ in found)
-        out += [("list", m.start(), m.end(), name, *f) for f in found]
-    return out
+        out += [("list", m.start(), m.end(), name, n, n, *at, *at) for n, *at in found]
+    return [r for r in out if r[5] < 2**63]
+
 
+def expand_references(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per number of each article range and list in the texts; texts without either never reach Python.
 
-def expand_references(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1000) -> DataFrame:
-    """A row per number of each article range and list in the texts; texts without either never reach Python."""
+    Python gives the bounds of a range, the numbers between are generated, however many;
+    those that do not stand in the text have no place (-1).
+    """
     rows = documents.select(F.col(key).alias("document_id"), F.col(text).alias("t")).where(F.col("t").rlike(r"من\s+(?:الفصل\s+)?[0-9٠-٩]+\s+(?:إ?لى|الى)|الفصلين|الفصول"))
-    names = ("kind", "start_char", "end_char", "normalized", "number", "number_start", "number_end")
-    types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+    ends = ("first_start", "first_end", "last_start", "last_end")
+    names = ("kind", "start_char", "end_char", "normalized", "first", "last", *ends)
+    types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in article_references(t, most)]
-            columns = list(zip(*made)) or [()] * 8
+            made = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in article_references(t)]
+            columns = list(zip(*made)) or [()] * 11
             yield pa.record_batch([pa.array(columns[0], pa.int64()), *[pa.array(c, t) for c, t in zip(columns[1:], types)]], ["document_id", *names])
 
-    return rows.mapInArrow(run, "document_id long, kind string, start_char int, end_char int, normalized string, number long, number_start int, number_end int")
+    bounds = rows.mapInArrow(run, f"document_id long, kind string, start_char int, end_char int, normalized string, first long, last long, {', '.join(f'{e} int' for e in ends)}")
+    each = numbers_between(bounds, F.col("first"), F.col("last"), "number")
+    at = lambda side: F.when(F.col("number") == F.col("first"), F.col(f"first_{side}")).when(F.col("number") == F.col("last"), F.col(f"last_{side}")).otherwise(-1)
+    return each.select("document_id", "kind", "start_char", "end_char", "normalized", "number", at("start").alias("number_start"), at("end").alias("number_end"))
 
 
-def expand_articles(documents: DataFrame, entities: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+def expand_articles(documents: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) that ranges and lists add: an INTERNAL_REF each, ARTICLE mentions for numbers that
     have none yet, and a ``refers_to`` from the one to each other."""
-    parts = expand_references(documents, most=most)
+    parts = expand_references(documents)
     there = entities.where("type = 'ARTICLE'").withColumn("number", canonical_num(F.coalesce(F.nullif("normalized", F.lit("")), "text")).try_cast("bigint")).where("number IS NOT NULL").groupBy("document_id", "number").agg(F.min_by("ent_id", "ord").alias("had"))
     nth = Window.partitionBy("document_id", "normalized").orderBy("start_char")
     ref = F.concat(F.lit("INTERNAL_REF_"), F.regexp_replace("normalized", "^الفصل ", ""), F.lit("_"), F.dense_rank().over(nth).cast("string"))
-    rows = parts.join(there, ["document_id", "number"], "left").withColumn("ref_id", ref).withColumn("art_id", F.coalesce("had", F.concat(F.lit("ARTICLE_"), F.col("number").cast("string"), F.lit("_1"))))
+    # made ids carry on the counter of the ids there with the same number
+    base = F.regexp_extract("ent_id", r"^ARTICLE_(\d+)_\d+$", 1).try_cast("bigint")
+    counted = entities.select("document_id", base.alias("number"), F.regexp_extract("ent_id", r"_(\d+)$", 1).try_cast("bigint").alias("k")).where("number IS NOT NULL").groupBy("document_id", "number").agg(F.max("k").alias("k"))
+    made_id = F.concat(F.lit("ARTICLE_"), F.col("number").cast("string"), F.lit("_"), (F.coalesce("k", F.lit(0)) + 1).cast("string"))
+    rows = parts.join(there, ["document_id", "number"], "left").join(counted, ["document_id", "number"], "left").withColumn("ref_id", ref).withColumn("art_id", F.coalesce("had", made_id)).drop("k")
     refs = rows.select("document_id", F.col("ref_id").alias("ent_id"), F.lit("INTERNAL_REF").alias("type"), "start_char", "end_char", "normalized").distinct()
     made = rows.where("had IS NULL").groupBy("document_id", F.col("art_id").alias("ent_id")).agg(F.min(F.struct((F.col("number_start") < 0).alias("unknown"), "number_start", "number_end")).alias("m"))
     arts = made.select("document_id", "ent_id", F.lit("ARTICLE").alias("type"), F.col("m.number_start").alias("start_char"), F.col("m.number_end").alias("end_char"), F.lit(None).cast("string").alias("normalized"))
@@ -176,7 +188,7 @@ def merge_chunks(entities: DataFrame, relations: DataFrame, offsets: DataFrame)
     return moved, relations
 
 
-def postprocess(documents: DataFrame, entities: DataFrame, relations: DataFrame, parity: bool = True, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+def postprocess(documents: DataFrame, entities: DataFrame, relations: DataFrame, parity: bool = True) -> tuple[DataFrame, DataFrame]:
     """Mentions and relations as they are stored: expanded, placed, without those inside dates or references,
     normalised, numbered, with global ids.
 
@@ -188,7 +200,7 @@ def postprocess(documents: DataFrame, entities: DataFrame, relations: DataFrame,
     from raqim.operators.spans import articles_outside_dates, articles_outside_refs, fix_offsets
 
     columns = ["document_id", "ent_id", "type", "text", "start_char", "end_char", "normalized"]
-    more, links = expand_articles(documents, entities, most)
+    more, links = expand_articles(documents, entities)
     bodies = documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("_body"))
     read = F.when(F.col("start_char") >= 0, F.substring("_body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).otherwise(F.regexp_extract("ent_id", r"(\d+)_\d+$", 1))
     more = more.join(bodies, "document_id").withColumn("text", read)

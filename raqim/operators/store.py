@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raqim.functions.numbers import canonical_num
-from raqim.functions.text import first_filled, titled_law_number
+from raqim.functions.text import first_filled, referenced_law, titled_law_number
 
 #: Columns of the tables; ids of documents are hashes of file names, stable over incremental loads.
 TABLES = {
@@ -54,14 +54,21 @@ def articles_of(nodes: DataFrame, types: tuple[str, ...] = ARTICLE_TYPES) -> Dat
 
 
 def raw_articles_of(nodes: DataFrame, types: tuple[str, ...] = ("ARTICLE", "الفصل", "مادة")) -> DataFrame:
-    """The same for the other importer: the number as written, or the title; empty texts stay."""
-    return nodes.where(F.col("type").isin(*types)).select("doc", "pos", first_filled(F.col("number"), F.col("title")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
+    """The same for the other importer: the number as written, or the normal form, or the title; empty texts stay."""
+    named = [F.col(c) for c in ("number", "normalized", "title") if c in nodes.columns]
+    return nodes.where(F.col("type").isin(*types)).select("doc", "pos", first_filled(*named).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def document_rows(files: DataFrame) -> DataFrame:
-    """Rows of ``documents`` from (file_name, short_title, official_title, doc_type, doc_number, source_rank)."""
+    """Rows of ``documents`` from (file_name, short_title, official_title, doc_type, doc_number, source_rank).
+
+    The law number stands in ``law_number`` or a title, else in the first of ``references`` to a law; both columns may be missing.
+    """
     title = first_filled(F.col("short_title"), F.col("official_title"), F.col("file_name"))
-    law = titled_law_number(F.col("official_title"), F.col("short_title"), F.col("file_name"))
+    told = [F.col("law_number")] if "law_number" in files.columns else []
+    law = titled_law_number(*told, F.col("official_title"), F.col("short_title"), F.col("file_name"))
+    if "references" in files.columns:
+        law = F.coalesce(law, referenced_law(F.col("references")))
     return files.select(F.xxhash64("file_name").alias("document_id"), "file_name", title.alias("short_title"), "official_title", "doc_type", "doc_number", law.alias("law_number"), "source_rank")
 
 

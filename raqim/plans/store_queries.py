@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from raqim.functions.vocabulary import RELATION_LABELS
 from raqim.operators.lineage import shared_folder
-from raqim.operators import documents, graph, mentions, references, spans, sql, store
+from raqim.operators import documents, graph, mentions, nested, references, spans, sql, store
 from raqim.plans.text_queries import _canonical_sql
 from raqim.sources.tables import table
 
@@ -54,6 +54,36 @@ def article_hits_cascade(spark: SparkSession, d: str) -> DataFrame:
     return references.article_cascade(asked, _documents(spark, d), _articles(spark, d))
 
 
+def article_hits_named(spark: SparkSession, d: str) -> DataFrame:
+    """Article 1 of whatever document has the title of each one, without its law number."""
+    asked = _documents(spark, d).select(F.col("doc_id").alias("req_id"), F.lit(None).cast("string").alias("law"), F.lit("1").alias("article"), F.array(F.lower("short_title")).alias("names"))
+    return references.article_cascade(asked, _documents(spark, d), _articles(spark, d))
+
+
+def article_popups(spark: SparkSession, d: str) -> DataFrame:
+    texts = _articles(spark, d).groupBy("document_id", "number").agg(F.max_by("text", F.struct("pos", "article_id")).alias("text"))
+    return references.article_popups(_entities(spark, d), _relations(spark, d), references.law_articles(_documents(spark, d), _articles(spark, d)), texts)
+
+
+def entity_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entity_arrays(_entities(spark, d), _relations(spark, d))
+
+
+def graphml_lines(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graphml_lines(_entities(spark, d), _relations(spark, d)).where("part IN (1, 2)")
+
+
+def record_law_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The law number of each record: in its titles or file name, else that of the first reference to a law."""
+    records = table(spark, d, "structure_records", "record_id", "file_name", "payload")
+    meta = nested.json_object(F.col("payload"))
+    field = lambda n: F.try_variant_get(meta, f"$.metadata.{n}", "string")
+    refs = F.try_variant_get(meta, "$.metadata.references", "array<struct<type:string,number:string>>")
+    rows = records.select("record_id", "file_name", field("law_number").alias("law_number"), field("official_title").alias("official_title"), field("short_title").alias("short_title"), refs.alias("references"))
+    rows = rows.select(F.concat_ws("\t", F.col("record_id").cast("string"), "file_name").alias("file_name"), "law_number", "official_title", "short_title", "references", F.lit("").alias("doc_type"), F.lit("").alias("doc_number"), F.lit(0).alias("source_rank"))
+    return store.document_rows(rows).select(F.substring_index("file_name", "\t", 1).cast("bigint").alias("record_id"), "law_number")
+
+
 def docs_by_entity(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "entities", "document_id", "global_id").where("global_id LIKE 'COURT%'")
     return references.documents_with(_documents(spark, d), wanted, 100)
@@ -101,31 +131,27 @@ def assign_numeric_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expanded_references(spark: SparkSession, d: str) -> DataFrame:
-    """Ranges and lists of articles in texts made of the key figures of the documents."""
-    n = F.col("doc_id") % 40
-    said = F.concat(F.lit("طبقا لمقتضيات من الفصل "), (n + 3).cast("string"), F.lit(" إلى "), (n + F.col("doc_id") % 5).cast("string"), F.lit(" والفصلين "), (n + 1).cast("string"), F.lit(" و "), (n + 9).cast("string"))
-    rows = table(spark, d, "documents", "doc_id").withColumn("text", said)
-    return mentions.expand_references(rows).select("document_id", "kind", "normalized", "number")
+    """Ranges and lists of articles in the texts of all documents and articles."""
+    texts = table(spark, d, "documents", "doc_id", "text").unionByName(table(spark, d, "articles", F.col("article_id").alias("doc_id"), "text"))
+    return mentions.expand_references(texts).select("document_id", "kind", "normalized", "number")
 
 
-def _dated(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions with known places; every fourth counts as an ARTICLE two characters inside its neighbour."""
+def _placed(spark: SparkSession, d: str) -> DataFrame:
     return _entities(spark, d).where("start_char >= 0")
 
 
-def _inner(rows: DataFrame) -> DataFrame:
-    a = F.col("start_char") + F.when(F.col("entity_id") % 3 == 0, 1).otherwise(-1)
-    return rows.where("type = 'DATE'").select("document_id", "entity_id", a.alias("start_char"), (a + 3).alias("end_char"))
-
-
 def articles_outside_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = _dated(spark, d)
-    return spans.outside(_inner(rows), rows.where("type = 'DATE'")).select("document_id", "entity_id")
+    """All mentions without the articles inside a date."""
+    return spans.articles_outside_dates(_entities(spark, d)).select("document_id", "entity_id")
 
 
 def articles_outside_refs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _dated(spark, d)
-    return spans.outside(_inner(rows), rows.where("type = 'DATE'"), overlap=F.col("entity_id") % 2 == 0).select("document_id", "entity_id")
+    """All mentions and the ranges and lists of the texts, without the articles inside those."""
+    found = mentions.expand_references(table(spark, d, "documents", "doc_id", "text")).select("document_id", "start_char", "end_char").distinct()
+    refs = found.select("document_id", F.lit(None).cast("bigint").alias("entity_id"), F.lit("").alias("ent_id"), F.lit("INTERNAL_REF").alias("type"), F.lit("").alias("text"), "start_char", "end_char")
+    rows = _entities(spark, d).select("document_id", "entity_id", "ent_id", "type", "text", "start_char", "end_char")
+    kept, _ = spans.articles_outside_refs(rows.unionByName(refs), _relations(spark, d))
+    return kept.where("entity_id IS NOT NULL").select("document_id", "entity_id")
 
 
 def fixed_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +159,7 @@ def fixed_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shifted_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = _dated(spark, d).select("document_id", "entity_id", "start_char", "end_char")
+    rows = _placed(spark, d).select("document_id", "entity_id", "start_char", "end_char")
     return spans.shift_spans(rows, F.lit(120), F.lit(160), F.lit("نص بديل"))
 
 
@@ -219,7 +245,8 @@ def document_sections(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "postprocess": postprocessed, "json_leaf_text": leaf_texts, "decision_sections": document_sections,
-    "article_hits_by_law": article_hits_by_law, "article_hits_cascade": article_hits_cascade, "docs_by_entity": docs_by_entity, "docs_by_person": docs_by_person, "judged_by_like": judged_by_like,
+    "article_hits_by_law": article_hits_by_law, "article_hits_cascade": article_hits_cascade, "article_hits_named": article_hits_named, "article_popups": article_popups, "entity_arrays": entity_arrays,
+    "graphml_lines": graphml_lines, "record_law_numbers": record_law_numbers, "docs_by_entity": docs_by_entity, "docs_by_person": docs_by_person, "judged_by_like": judged_by_like,
     "docs_per_type": docs_per_type, "table_counts": table_counts, "law_articles": law_articles, "global_ids": global_ids, "normal_forms": normal_forms, "article_normals": article_normals,
     "assign_numeric_ids": assign_numeric_ids, "expand_references": expanded_references, "articles_outside_dates": articles_outside_dates, "articles_outside_refs": articles_outside_refs,
     "fix_offsets": fixed_offsets, "shift_spans_on_replace": shifted_spans, "next_id": next_ids, "graph_edges": graph_edges, "relation_tooltips": relation_tooltips,
@@ -238,7 +265,48 @@ _LAWNO = rf"""coalesce({_canonical_sql(r"nullif(regexp_extract(translate(text, '
  CASE WHEN (contains(text, 'المادة') OR contains(text, 'الفصل')) AND len(regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '\d+(?:[./]+\d+)*')) >= 2 THEN {_canonical_sql(r"regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '\d+(?:[./]+\d+)*')[-1]")} END,
  {_canonical_sql(r"regexp_extract_all(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '\d+(?:[./]+\d+)*')[1]")})"""
 
+_RANGE_SQL = r"من\s+(?:الفصل\s+)?([0-9٠-٩]+)\s+(?:إ?لى|الى)\s+(?:الفصل\s+)?([0-9٠-٩]+)"
+_LIST_SQL = r"(?:الفصلين|الفصول)\s*:?[\s ]*((?:[0-9٠-٩]+(?:\s*[،,]\s*|\s*و\s*))*[0-9٠-٩]+)"
+_WHERE = "(SELECT doc_id AS id, translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS t FROM documents UNION ALL SELECT article_id, translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789') FROM articles)"
+_RANGES = f"""ranges AS (SELECT id, least(x, y) AS a, greatest(x, y) AS b FROM (
+  SELECT id, CAST(unnest(regexp_extract_all(t, '{_RANGE_SQL}', 1)) AS BIGINT) AS x, CAST(unnest(regexp_extract_all(t, '{_RANGE_SQL}', 2)) AS BIGINT) AS y FROM {_WHERE}))"""
+_LISTS = f"""lists AS (SELECT id, list_transform(regexp_extract_all(said, '[0-9]+'), lambda n: CAST(n AS BIGINT)) AS ns FROM (SELECT id, unnest(regexp_extract_all(t, '{_LIST_SQL}', 1)) AS said FROM {_WHERE}))"""
+_ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
 SQL = {
+    "article_hits_named": f"""
+WITH q AS (SELECT doc_id AS req_id, lower(short_title) AS part, '1' AS number FROM documents),
+f AS (SELECT document_id, article_id, {_canonical_sql('number')} AS number, doc_number, short_title, file_name FROM articles JOIN documents ON doc_id = document_id),
+h AS (SELECT req_id, document_id, article_id, doc_number, CASE WHEN coalesce(contains(lower(short_title), part), false) OR coalesce(contains(lower(file_name), part), false) THEN 3 ELSE 4 END AS stage FROM q JOIN f ON f.number = q.number),
+l AS (SELECT *, min(stage) OVER (PARTITION BY req_id) AS least FROM h)
+SELECT req_id, CAST(row_number() OVER (PARTITION BY req_id ORDER BY doc_number NULLS LAST, document_id, article_id) AS INT) AS place, document_id AS doc_id, article_id, stage FROM l WHERE stage = least
+QUALIFY place <= 5""",
+    "entity_arrays": f"""
+WITH {_ENT}, {_REL}, {_NODE}, b AS (SELECT document_id, ord, relation_id, source_id AS ent_id, target_id AS other FROM r WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION ALL SELECT document_id, ord, relation_id, target_id, source_id FROM r WHERE source_id IS NOT NULL AND target_id IS NOT NULL)
+SELECT b.document_id, b.ent_id, string_agg(other, ',' ORDER BY ord, other) AS refs, coalesce(string_agg(relation_id, ',' ORDER BY ord, other), '') AS rels, coalesce(string_agg(CASE WHEN n.type = 'ARTICLE' THEN other END, ',' ORDER BY ord, other), '') AS articles
+FROM b LEFT JOIN node n ON n.document_id = b.document_id AND n.ent_id = b.other GROUP BY 1, 2""",
+    "graphml_lines": f"""
+WITH {_ENT}, {_REL}, node AS (SELECT document_id, ent_id, unnest(arg_max(struct_pack(entity_id := entity_id, type := type, text := text, normalized := normalized), struct_pack(o := ord, i := entity_id))) FROM e GROUP BY document_id, ent_id)
+SELECT 1 AS part, concat('<node id="', entity_id, '"><data key="document">', document_id, '</data>', '<data key="type">' || {_ESC('type')} || '</data>', '<data key="text">' || {_ESC('text')} || '</data>', '<data key="normalized">' || {_ESC('normalized')} || '</data>', '</node>') AS value FROM node
+UNION ALL SELECT 2, concat('<edge source="', s.entity_id, '" target="', t.entity_id, '"><data key="relation">', {_ESC("coalesce(r.type, '')")}, '</data></edge>')
+FROM r JOIN node s ON s.document_id = r.document_id AND s.ent_id = r.source_id JOIN node t ON t.document_id = r.document_id AND t.ent_id = r.target_id""",
+    "record_law_numbers": r"""
+WITH o AS (SELECT record_id, file_name, regexp_extract(payload, '(?s)\{.*\}') AS j FROM structure_records), v AS (SELECT record_id, file_name, CASE WHEN json_valid(j) THEN json_extract(j, '$.metadata') END AS m FROM o),
+t AS (SELECT *, translate(unnest([m ->> '$.law_number', m ->> '$.official_title', m ->> '$.short_title', file_name]), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS title, unnest([1, 2, 3, 4]) AS place FROM v),
+n AS (SELECT record_id, arg_min(nullif(regexp_extract(title, 'القانون\s+رقم\s*(\d+(?:[./]\d+)*)', 1), ''), place) FILTER (WHERE regexp_matches(title, 'القانون\s+رقم\s*\d')) AS titled, any_value(m) AS m FROM t GROUP BY 1)
+SELECT record_id, coalesce(titled, list_filter(CASE WHEN json_type(m, '$.references') = 'ARRAY' THEN json_extract(m, '$.references[*]') ELSE [] END, lambda x: contains(x ->> '$.type', 'قانون'))[1] ->> '$.number') AS law_number FROM n""",
+    "article_popups": f"""
+WITH {_ENT}, {_REL}, {_NODE}, la AS (SELECT * FROM (LAW_ARTICLES)),
+full_node AS (SELECT document_id, ent_id, arg_max(coalesce(nullif(normalized, ''), text), struct_pack(o := ord, i := entity_id)) AS value FROM e GROUP BY 1, 2),
+a AS (SELECT n.document_id, n.ent_id, {_canonical_sql('f.value')} AS number FROM node n JOIN full_node f USING (document_id, ent_id) WHERE n.type = 'ARTICLE'),
+last AS (SELECT document_id, {_canonical_sql('number')} AS number, arg_max(text, (pos, article_id)) AS text FROM articles GROUP BY document_id, articles.number),
+own AS (SELECT document_id, number, max(text) AS own FROM last WHERE text <> '' AND number IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT document_id, ord, source_id AS node, target_id AS other FROM r WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION ALL SELECT document_id, ord, target_id, source_id FROM r WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+l AS (SELECT document_id, ent_id AS other, {_LAWNO} AS law FROM node WHERE type IN ('LAW', 'DECRET', 'DAHIR', 'CONSTITUTION', 'DECREE', 'STATUTE')),
+near AS (SELECT b.document_id, b.node AS ent_id, l.law, min(b.ord) AS o FROM b JOIN l USING (document_id, other) WHERE law IS NOT NULL GROUP BY 1, 2, 3),
+related AS (SELECT a.document_id, a.ent_id, arg_min(la.text, (o, near.law)) AS related FROM a JOIN near USING (document_id, ent_id) JOIN la ON la.law = near.law AND la.number = a.number GROUP BY 1, 2),
+other AS (SELECT number, arg_min(text, law) AS other FROM la GROUP BY 1)
+SELECT document_id, ent_id, 'الفصل ' || number || chr(10) || coalesce(own, related, other) AS popup FROM a LEFT JOIN own USING (document_id, number) LEFT JOIN related USING (document_id, ent_id) LEFT JOIN other USING (number) WHERE coalesce(own, related, other) IS NOT NULL""",
     "decision_sections": """
 SELECT document_id, CASE type WHEN 'LAW' THEN 'laws' ELSE 'dates' END AS section, CAST(row_number() OVER (PARTITION BY document_id, type ORDER BY entity_id) - 1 AS INT) AS idx, text
 FROM entities WHERE type IN ('LAW', 'DATE') AND text IS NOT NULL""",
@@ -285,17 +353,19 @@ SELECT entity_id, CASE WHEN len(ns) > 1 THEN head || ' ' || array_to_string(list
 WITH {_ENT}, {_REL}, ids AS (SELECT document_id, ent_id, CAST(max(ord) AS VARCHAR) AS new_id FROM e GROUP BY 1, 2)
 SELECT r.document_id, CAST(r.ord AS VARCHAR) AS new_relation_id, r.type, coalesce(s.new_id, r.source_id) AS source_id, coalesce(t.new_id, r.target_id) AS target_id
 FROM r LEFT JOIN ids s ON s.document_id = r.document_id AND s.ent_id = r.source_id LEFT JOIN ids t ON t.document_id = r.document_id AND t.ent_id = r.target_id""",
-    "expand_references": """
-WITH t AS (SELECT doc_id AS document_id, doc_id % 40 + 3 AS x, doc_id % 40 + doc_id % 5 AS y, doc_id % 40 + 1 AS p, doc_id % 40 + 9 AS q FROM documents)
-SELECT document_id, 'range' AS kind, 'الفصل ' || least(x, y) || '-' || greatest(x, y) AS normalized, unnest(range(least(x, y), greatest(x, y) + 1)) AS number FROM t
-UNION ALL SELECT document_id, 'list', 'الفصل ' || p || '_' || q, unnest([p, q]) FROM t""",
+    "expand_references": rf"""
+WITH {_RANGES}, {_LISTS}
+SELECT id AS document_id, 'range' AS kind, 'الفصل ' || a || '-' || b AS normalized, unnest(range(a, b + 1)) AS number FROM ranges
+UNION ALL SELECT id, 'list', 'الفصل ' || array_to_string(ns, '_'), unnest(ns) FROM lists""",
     "articles_outside_dates": """
-WITH i AS (SELECT document_id, entity_id, start_char + CASE WHEN entity_id % 3 = 0 THEN 1 ELSE -1 END AS a FROM entities WHERE type = 'DATE' AND start_char >= 0)
-SELECT document_id, entity_id FROM i WHERE NOT EXISTS (SELECT 1 FROM entities o WHERE o.type = 'DATE' AND o.document_id = i.document_id AND o.start_char >= 0 AND i.a >= 0 AND o.start_char <= i.a AND i.a + 3 <= o.end_char)""",
-    "articles_outside_refs": """
-WITH i AS (SELECT document_id, entity_id, start_char + CASE WHEN entity_id % 3 = 0 THEN 1 ELSE -1 END AS a FROM entities WHERE type = 'DATE' AND start_char >= 0)
-SELECT document_id, entity_id FROM i WHERE NOT EXISTS (SELECT 1 FROM entities o WHERE o.type = 'DATE' AND o.document_id = i.document_id AND o.start_char >= 0 AND i.a >= 0
-  AND (o.start_char <= i.a AND i.a + 3 <= o.end_char OR i.entity_id % 2 = 0 AND i.a < o.end_char AND o.start_char < i.a + 3))""",
+SELECT document_id, entity_id FROM entities i WHERE NOT (coalesce(type = 'ARTICLE', false) AND EXISTS (
+  SELECT 1 FROM entities o WHERE o.type = 'DATE' AND o.document_id = i.document_id AND o.start_char >= 0 AND i.start_char >= 0 AND o.start_char <= i.start_char AND i.end_char <= o.end_char))""",
+    "articles_outside_refs": rf"""
+WITH t AS (SELECT doc_id AS id, text FROM documents), whole AS (
+  SELECT id, text, unnest(list_concat(regexp_extract_all(text, '{_RANGE_SQL}'), regexp_extract_all(text, '{_LIST_SQL}'))) AS said FROM t),
+refs AS (SELECT DISTINCT id, strpos(text, said) - 1 AS a, strpos(text, said) - 1 + length(said) AS b FROM whole)
+SELECT document_id, entity_id FROM entities i WHERE NOT (coalesce(type = 'ARTICLE', false) AND EXISTS (
+  SELECT 1 FROM refs o WHERE o.id = i.document_id AND i.start_char >= 0 AND (a <= i.start_char AND i.end_char <= b OR len(regexp_extract_all(i.text, '[0-9٠-٩]+')) > 1 AND i.start_char < b AND a < i.end_char)))""",
     "shift_spans_on_replace": """
 SELECT document_id, entity_id, CAST(CASE WHEN start_char >= 160 THEN start_char - 33 ELSE start_char END AS INT) AS start_char,
   CAST(CASE WHEN start_char >= 160 THEN end_char - 33 WHEN start_char < 120 AND end_char > 120 THEN 120 ELSE end_char END AS INT) AS end_char
@@ -316,9 +386,8 @@ WITH {_ENT}, {_REL}, {_NODE}, b AS (SELECT document_id, ord, source_id AS node,
 l AS (SELECT document_id, ent_id AS other, {_LAWNO} AS law FROM node WHERE type IN ('LAW', 'DECRET', 'DAHIR', 'CONSTITUTION', 'DECREE', 'STATUTE')),
 m AS (SELECT b.document_id, b.node, l.law, min(b.ord) AS o FROM b JOIN l USING (document_id, other) JOIN node a ON a.document_id = b.document_id AND a.ent_id = b.node AND a.type IN ('ARTICLE', 'INTERNAL_REF') WHERE law IS NOT NULL GROUP BY 1, 2, 3)
 SELECT document_id, node AS ent_id, string_agg(law, ',' ORDER BY o, law) AS laws FROM m GROUP BY 1, 2""",
-    "upsert_documents": """
-WITH c AS (SELECT * FROM documents WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY doc_id DESC) = 1), n AS (SELECT * FROM documents WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY created_at DESC NULLS LAST, doc_id DESC) = 1)
-SELECT doc_id, file_name, short_title, created_at FROM c WHERE file_name NOT IN (SELECT file_name FROM n) UNION ALL SELECT doc_id, file_name, short_title, created_at FROM n""",
+    # of a file name the last import counts, and every file name has one
+    "upsert_documents": "SELECT doc_id, file_name, short_title, created_at FROM documents QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY created_at DESC NULLS LAST, doc_id DESC) = 1",
     "replace_children": "SELECT document_id, article_id, number FROM articles WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, article_id, 'جديد ' || coalesce(number, '') FROM articles WHERE document_id % 3 = 0 AND article_id % 2 = 0",
     "document_rows": r"""
 SELECT file_name, coalesce(nullif(short_title, ''), nullif(official_title, ''), file_name) AS short_title,
@@ -328,3 +397,4 @@ FROM documents""",
     "adhoc_sql": f"SELECT source, {_canonical_sql('law_number')} AS law, count(*) AS n FROM documents WHERE lang = 'ar' GROUP BY 1, 2",
     "stream_import": "SELECT type, count(*) AS n FROM relations GROUP BY 1",
 }
+SQL["article_popups"] = SQL["article_popups"].replace("LAW_ARTICLES", SQL["law_articles"])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Iterator
+from html import escape
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raqim.functions.text import html_escape
+
 
 def _named(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
@@ -89,6 +94,23 @@ def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
 
 
-def to_html(df: DataFrame, most: int = 10_000) -> str:
-    """A result as an HTML table of at most ``most`` rows, for display."""
-    return df.limit(most).toPandas().to_html(index=False)
+def html_lines(df: DataFrame) -> DataFrame:
+    """(value): each row of a result as a row of an HTML table, without its frame."""
+    return df.select(F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), html_escape(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns], F.lit("</tr>")).alias("value"))
+
+
+def to_html(df: DataFrame) -> str:
+    """A result as one HTML table, for display; its rows come to the driver, so it is for results and not for tables."""
+    head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+    rows = "\n".join(r.value for r in html_lines(df).toLocalIterator())
+    return f"<table>\n<tr>{head}</tr>\n{rows}\n</table>"
+
+
+def to_csv(df: DataFrame) -> str:
+    """A result as one CSV string with a header; missing values as empty fields."""
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    for row in df.toLocalIterator():
+        writer.writerow(["" if v is None else v for v in row])
+    return out.getvalue()

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from raqim.functions import markers, numbers, text
-from raqim.operators.mentions import article_references, normal_form
+from raqim.operators.mentions import article_references, expand_references, normal_form
 
 
 def one(spark, value, column):
@@ -78,11 +78,14 @@ def test_normal_forms(spark, kind, value, expected):
     assert row.select(normal_form(F.col("k"), F.col("t"), F.col("n")).alias("x")).first().x == expected
 
 
-def test_ranges_and_lists():
-    got = article_references("من 12 إلى ٩ ثم الفصول: 1، 3 و4")
-    assert [(g[0], g[3], g[4]) for g in got] == [("range", "الفصل 9-12", n) for n in (9, 10, 11, 12)] + [("list", "الفصل 1_3_4", n) for n in (1, 3, 4)]
-    assert [g[5] for g in got[:4]] == [10, -1, -1, 3]
-    assert len(article_references("من 1 إلى 2000000")) == 2
+def test_ranges_and_lists(spark):
+    text = "من 12 إلى ٩ ثم الفصول: 1، 3 و4"
+    assert [(g[0], g[3], g[4], g[5]) for g in article_references(text)] == [("range", "الفصل 9-12", 9, 12)] + [("list", "الفصل 1_3_4", n, n) for n in (1, 3, 4)]
+    rows = [(1, text), (2, "من 1 إلى 20000"), (3, "من 5 إلى 5"), (4, None), (5, ""), (6, "من 1 إلى 99999999999999999999999")]
+    got = expand_references(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((g.number, g.number_start) for g in got if g.document_id == 1) == [(1, 23), (3, 26), (4, 29), (9, 10), (10, -1), (11, -1), (12, 3)]
+    assert sorted(g.number for g in got if g.document_id == 2) == list(range(1, 20_001))
+    assert [(g.number, g.number_start) for g in got if g.document_id == 3] == [(5, 9)] and {g.document_id for g in got} == {1, 2, 3}
 
 
 def test_brackets_are_inserted_once_and_never_inside_each_other():

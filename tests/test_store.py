@@ -31,7 +31,37 @@ def test_graphml(spark, tmp_path):
     graph.write_graphml(e, spark.createDataFrame([(1, 0, "1", "refers_to", "1", "2")], REL), str(tmp_path / "g.xml"))
     import xml.dom.minidom
 
-    xml.dom.minidom.parse(str(tmp_path / "g.xml"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "g.xml").glob("part-*.txt")))
+    assert len(xml.dom.minidom.parseString(whole).getElementsByTagName("node")) == 2
+    files.html_lines(e).collect()
+    assert files.to_html(e.select("text")) == "<table>\n<tr><th>text</th></tr>\n<tr><td>a &amp; b</td></tr>\n<tr><td>c</td></tr>\n</table>"
+    assert files.to_csv(e.select("text", "normalized")) == "text,normalized\na & b,\nc,\n"
+
+
+def test_a_law_is_found_by_its_names(spark):
+    documents = spark.createDataFrame([(1, None, None, "Loi des Baux", "x.json"), (2, "9.9", None, "Code", "baux_2.json"), (3, None, None, None, "y.json")], "doc_id bigint, doc_number string, law_number string, short_title string, file_name string")
+    articles = spark.createDataFrame([(d, 10 * d + n, str(n)) for d in (1, 2, 3) for n in (1, 2)], "document_id bigint, article_id bigint, number string")
+    asked = [(1, "7", "1", ["baux", "zz"]), (2, None, "2", ["code"]), (3, "9.9", "1", ["loi"]), (4, "json", "2", None), (5, None, "1", ["z"]), (6, None, "1", [None]), (7, None, "1", ["x."])]
+    got = references.article_cascade(spark.createDataFrame(asked, "req_id bigint, law string, article string, names array<string>"), documents, articles)
+    found = {}
+    for r in got.orderBy("req_id", "place").collect():
+        found.setdefault(r.req_id, []).append((r.stage, r.doc_id))
+    assert found == {1: [(3, 2), (3, 1)], 2: [(3, 2)], 3: [(1, 2)], 4: [(2, 2), (2, 1), (2, 3)], 5: [(4, 2), (4, 1), (4, 3)], 6: [(4, 2), (4, 1), (4, 3)], 7: [(3, 1)]}
+
+
+def test_popups(spark):
+    e = spark.createDataFrame([(1, 0, 1, "1", "ARTICLE", "الفصل 5", 0, 1, None), (1, 1, 2, "2", "LAW", "القانون رقم 3.4", 0, 1, None), (1, 2, 3, "3", "INTERNAL_REF", "5-6", 0, 1, None), (1, 3, 4, "4", "ARTICLE", "الفصل 6", 0, 1, None), (1, 4, 5, "5", "ARTICLE", "الفصل 9", 0, 1, None)], ENT)
+    r = spark.createDataFrame([(1, 0, "1", "refers_to", "1", "2"), (1, 1, "2", "refers_to", "3", "1"), (1, 2, "3", "refers_to", "3", "4")], REL)
+    laws = spark.createDataFrame([("1.1", "5", "other"), ("3.4", "5", "of the law"), ("1.1", "6", "first")], "law string, number string, text string")
+    texts = spark.createDataFrame([(1, "6", "own")], "document_id bigint, number string, text string")
+    got = {x.ent_id: x.popup for x in references.article_popups(e, r, laws, texts).collect()}
+    assert got == {"1": "الفصل 5\nof the law", "4": "الفصل 6\nown", "3": "الفصل 5\nof the law\n\nالفصل 6\nown"}
+
+
+def test_law_number_of_a_reference(spark):
+    schema = "file_name string, short_title string, official_title string, doc_type string, doc_number string, source_rank int, references array<struct<type:string,number:string>>"
+    rows = [("a", None, "القانون رقم 1.2", None, None, 0, [("قانون", "3")]), ("b", None, None, None, None, 0, [("مرسوم", "4"), ("القانون", "5"), ("قانون", "6")]), ("c", None, None, None, None, 0, None), ("d", None, None, None, None, 0, [])]
+    assert {r.file_name: r.law_number for r in store.document_rows(spark.createDataFrame(rows, schema)).collect()} == {"a": "1.2", "b": "5", "c": None, "d": None}
 
 
 def test_spans():
