@@ -125,7 +125,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p9_spans(spark: SparkSession, directory: str) -> DataFrame:
-    """The longest quotation of each item in each document, by code points of the original."""
+    """Every quotation of each item in each document, by code points of the original."""
     return find_leaks(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text"))
 
 

@@ -76,10 +76,21 @@ def test_leaks_equal_brute_force(spark):
     found = leaks.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == expected
     assert all(r.quoted_words >= 20 and dict(docs)[r.doc_id][r.start_char : r.end_char].strip(" ,\n").startswith(dict(docs)[r.doc_id][4]) for r in found)
+    small = leaks.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"), shard_chars=1000).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, found))
     assert leaks.find_leaks(df.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
     assert leaks.find_leaks(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_every_quotation_is_reported():
+    item = " ".join(f"mot{i}" for i in range(40))
+    first, second = " ".join(item.split()[:22]), " ".join(item.split()[15:38])
+    text = f"a {first} b {second} c {first} d"
+    got = leaks.Matcher([(1, item)], 20).find(text)
+    places = leaks.originals(text, [g[2:] for g in got])
+    assert [(g[0], g[1]) for g in got] == [(1, 22), (1, 23), (1, 22)] and [text[s:e].strip() for s, e in places] == [first, second, first]
+
+
 BODY = ["Le conseil de discipline examine la pension homologuée avant de transférer la facture tardive à la commission.", "La société délégataire publie la requête détaillée sans préjudice de la provision gagée et de la saisie."]
 
 
