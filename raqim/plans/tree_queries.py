@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raqim.functions.numbers import ascii_digits
 from raqim.functions.vocabulary import RANK
 from raqim.operators import tree
+from raqim.operators.nested import node_table
 from raqim.operators.store import articles_of
+from raqim.plans.nested_queries import SQL as NESTED
 from raqim.sources.tables import table
 
 _TYPES = list(RANK)
@@ -112,7 +115,38 @@ def collected_articles(spark: SparkSession, d: str) -> DataFrame:
     return articles_of(nodes(spark, d), ("مادة", "فصل"))
 
 
+def record_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, pos, parent_pos, type, number, text) of the trees in the records as they came."""
+    nodes = node_table(table(spark, d, "structure_records", "record_id", "payload"), fields=("type", "number", "text"))
+    parent = F.when(F.col("parent_pos") >= 0, F.col("parent_pos"))
+    return nodes.select(F.col("record_id").alias("doc"), "pos", parent.alias("parent_pos"), *[F.coalesce(f"node_{c}", F.lit("")).alias(c) for c in ("type", "number", "text")])
+
+
+def record_depth(spark: SparkSession, d: str) -> DataFrame:
+    return tree.with_depth(record_nodes(spark, d)).select("doc", "pos", "depth")
+
+
+def record_merged(spark: SparkSession, d: str) -> DataFrame:
+    return tree.merge_duplicates(tree.with_depth(record_nodes(spark, d))).select("doc", "pos", "parent_pos", "type", "number")
+
+
+def record_flattened(spark: SparkSession, d: str) -> DataFrame:
+    """Articles inside what is no article, whatever the word for it: here the innermost type that records use."""
+    return tree.flatten_articles(tree.with_depth(record_nodes(spark, d)), "الباب").select("doc", "pos", "parent_pos")
+
+
+def record_pruned(spark: SparkSession, d: str) -> DataFrame:
+    rows = record_nodes(spark, d).withColumn("number", ascii_digits(F.col("number")))
+    return tree.prune_structure(tree.with_depth(rows), ("الجزء", "الباب", "Titre", "Chapitre"), "المادة").select("doc", "pos")
+
+
+def record_strays(spark: SparkSession, d: str) -> DataFrame:
+    """Strays at every level of the trees that ranks build, under the parents that stand."""
+    return tree.attach_strays(_built(spark, d)).select("doc", "pos", "parent_pos")
+
+
 QUERIES = {
+    "record_depth": record_depth, "record_merge_duplicates": record_merged, "record_flatten": record_flattened, "record_prune": record_pruned, "attach_strays_nested": record_strays,
     "hierarchy_parent": hierarchy_parent, "hierarchy_legacy": hierarchy_legacy, "node_depth": node_depth, "flatten_articles": flatten_articles, "prune_structure": prune_structure,
     "merge_duplicates": merge_duplicates, "dedup_articles_monotone": dedup_articles_monotone, "dedup_articles": dedup_articles, "attach_strays": attach_strays,
     "sort_children": sort_children, "fill_missing_articles": fill_missing_articles, "fill_missing_sections": fill_missing_sections, "drop_empty_nodes": drop_empty_nodes,
@@ -136,13 +170,38 @@ def _tree(unknown: bool = False) -> str:
 tree AS (SELECT n.doc, n.pos, n.type, n.number, n.text, max(p.pos) AS parent_pos FROM ranked n LEFT JOIN ranked p ON p.doc = n.doc AND p.pos < n.pos AND p.rank < n.rank GROUP BY ALL)"""
 
 
-def _walk(unknown: bool = False) -> str:
-    return f"""{_tree(unknown)}, walk AS (
+def _records() -> str:
+    return f"""tree AS (SELECT record_id AS doc, pos, node_type AS type, node_number AS number, '' AS text, CASE WHEN parent_pos >= 0 THEN parent_pos END AS parent_pos FROM ({NESTED["p6_found"]}))"""
+
+
+def _walk(unknown: bool = False, base: str | None = None) -> str:
+    return f"""{base or _tree(unknown)}, walk AS (
   SELECT doc, pos, type, number, text, parent_pos, 0 AS depth, CAST([] AS STRUCT(pos INT, type VARCHAR, number VARCHAR)[]) AS up FROM tree WHERE parent_pos IS NULL
   UNION ALL SELECT t.doc, t.pos, t.type, t.number, t.text, t.parent_pos, w.depth + 1, list_append(w.up, struct_pack(pos := w.pos, type := w.type, number := w.number)) FROM tree t JOIN walk w ON t.doc = w.doc AND t.parent_pos = w.pos)"""
 
 
+_MERGED = """, named AS (
+  SELECT *, list_transform(up, lambda a: CASE WHEN a.type = 'مادة' THEN '#' || a.pos ELSE a.type || '/' || a.number END) AS above,
+    CASE WHEN type = 'مادة' THEN '#' || pos ELSE type || '/' || number END AS own FROM walk),
+ways AS (SELECT *, array_to_string(list_append(above, own), chr(9)) AS way, array_to_string(above, chr(9)) AS up_way FROM named),
+kept AS (SELECT doc, way, any_value(up_way) AS up_way, min(pos) AS pos, any_value(type) AS type, any_value(number) AS number FROM ways GROUP BY ALL)
+SELECT k.doc, k.pos, p.pos AS parent_pos, k.type, k.number FROM kept k LEFT JOIN kept p ON p.doc = k.doc AND p.way = k.up_way"""
+
 SQL = {
+    "record_depth": f"WITH RECURSIVE {_walk(base=_records())} SELECT doc, pos, depth FROM walk",
+    "record_merge_duplicates": f"WITH RECURSIVE {_walk(base=_records())} {_MERGED}",
+    "record_flatten": f"WITH RECURSIVE {_walk(base=_records())} SELECT doc, pos, (list_filter(up, lambda a: a.type <> 'الباب')[-1]).pos AS parent_pos FROM walk",
+    "record_prune": f"""
+WITH RECURSIVE {_records()}, good AS (SELECT * FROM tree WHERE type IN ('الجزء', 'الباب', 'Titre', 'Chapitre') AND regexp_full_match(trim(translate(number, '٠١٢٣٤٥٦٧٨٩', '0123456789')), '\\d*')),
+walk AS (SELECT doc, pos FROM good WHERE parent_pos IS NULL UNION ALL SELECT g.doc, g.pos FROM good g JOIN walk w ON g.doc = w.doc AND g.parent_pos = w.pos)
+SELECT doc, pos FROM walk""",
+    "attach_strays_nested": f"""
+WITH {_tree()}, s AS (SELECT doc, pos, parent_pos, CASE WHEN type <> 'مادة' THEN {_RANK} END AS rank FROM tree),
+b AS (SELECT n.doc, n.pos, n.parent_pos, n.rank, coalesce(bool_or(p.rank < n.rank) FILTER (WHERE p.parent_pos IS NOT DISTINCT FROM n.parent_pos), false) AS deeper,
+  coalesce(bool_or(p.rank IS NOT NULL) FILTER (WHERE p.parent_pos IS NOT DISTINCT FROM n.parent_pos), false) AS beside, max(p.pos) FILTER (WHERE p.rank IS NOT NULL) AS last
+  FROM s n LEFT JOIN s p ON p.doc = n.doc AND p.pos < n.pos GROUP BY 1, 2, 3, 4)
+SELECT b.doc, b.pos, CASE WHEN b.rank IS NULL AND b.beside THEN b.last WHEN b.deeper THEN max(h.pos) ELSE b.parent_pos END AS parent_pos
+FROM b LEFT JOIN b h ON h.doc = b.doc AND h.pos < b.pos AND h.parent_pos IS NOT DISTINCT FROM b.parent_pos AND h.rank IS NOT NULL AND NOT h.deeper GROUP BY b.doc, b.pos, b.parent_pos, b.rank, b.last, b.deeper, b.beside""",
     "hierarchy_parent": f"WITH {_tree()} SELECT doc, pos, parent_pos FROM tree",
     "hierarchy_legacy": f"""
 WITH {_nodes()}, r AS (SELECT *, CASE type WHEN 'قسم' THEN 0 WHEN 'جزء' THEN 0 WHEN 'باب' THEN 1 WHEN 'فصل' THEN 2 WHEN 'فرع' THEN 3 WHEN 'مادة' THEN 4 END AS old FROM nodes),
