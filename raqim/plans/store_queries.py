@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from raqim.operators.lineage import shared_folder
 from raqim.operators import documents, graph, mentions, nested, references, spans, sql, store
 from raqim.plans.text_queries import _canonical_sql
 from raqim.sources.tables import table
+from raqim.streaming import imports
 
 ENTITY = ("document_id", "ord", "entity_id", "ent_id", "type", "text", "start_char", "end_char", "normalized", "global_id")
 
@@ -214,15 +216,14 @@ def adhoc_sql(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_import(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by source from a stream that takes what is there and ends."""
+    """The documents as a stream of files into a store; the last version of each file name stays."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "relations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "relations.parquet").parquet(d)
-    name = f"raqim_stream_{uuid.uuid4().hex}"
-    counts = stream.groupBy("type").agg(F.count("*").alias("n"))
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    schema = table(spark, d, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet" if os.path.isfile(f"{d}/documents.parquet") else "*.parquet")
+    stream = stream.parquet(d if os.path.isfile(f"{d}/documents.parquet") else f"{d}/documents.parquet")
+    kept = imports.Versions(spark, f"{folder}/store", imports.FILES)
+    imports.import_rows(stream.select("file_name", F.col("created_at").cast("timestamp").alias("modified"), "text"), kept, f"{folder}/at").awaitTermination()
+    return kept.read().select("file_name", F.length("text").alias("n_chars"), F.sha1("text").alias("digest"))
 
 
 def postprocessed(spark: SparkSession, d: str) -> DataFrame:
@@ -395,6 +396,6 @@ SELECT file_name, coalesce(nullif(short_title, ''), nullif(official_title, ''),
 FROM documents""",
     "overlay": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(upper(source), short_title) ELSE short_title END AS short_title, source FROM documents",
     "adhoc_sql": f"SELECT source, {_canonical_sql('law_number')} AS law, count(*) AS n FROM documents WHERE lang = 'ar' GROUP BY 1, 2",
-    "stream_import": "SELECT type, count(*) AS n FROM relations GROUP BY 1",
+    "stream_import": "SELECT file_name, CAST(length(text) AS INT) AS n_chars, sha1(text) AS digest FROM documents QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY created_at DESC NULLS LAST, text DESC NULLS LAST) = 1",
 }
 SQL["article_popups"] = SQL["article_popups"].replace("LAW_ARTICLES", SQL["law_articles"])

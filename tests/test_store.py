@@ -126,6 +126,14 @@ def test_stream_and_sync(spark, tmp_path):
     (source / "c.json").write_text("{}", encoding="utf-8")
     import_stream(spark, str(source), held, str(tmp_path / "at")).awaitTermination()
     assert held.read().count() == 2 and sync(spark, str(source), held) == 0
+    before = held.current()
+    later = spark.createDataFrame([("c.json", "2999-01-01 00:00:00", "later"), ("c.json", "2998-01-01 00:00:00", "sooner")], "file_name string, modified string, text string").withColumn("modified", F.to_timestamp("modified"))
+    held.merge(later, ("modified", "text"))
+    held.merge(later, ("modified", "text"))
+    assert sorted(r.text for r in held.read().collect()) == ["later", '{"a": 1}']
+    assert sum(v == held.current()[b] for b, v in before.items()) == len(before) - 1  # other buckets stay as they are
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("v-")]) <= 3
+    held.merge(later.limit(0), ("modified", "text"))
 
 
 def test_files(spark, tmp_path):
