@@ -275,6 +275,9 @@ _LISTS = f"""lists AS (SELECT id, list_transform(regexp_extract_all(said, '[0-9]
 _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 
 SQL = {
+    "json_leaf_text": r"""
+WITH v AS (SELECT record_id, regexp_extract(payload, '(?s)\{.*\}') AS j FROM structure_records), g AS (SELECT record_id, CASE WHEN json_valid(j) THEN j ELSE '{}' END AS j, json_valid(j) AS ok FROM v)
+SELECT record_id, CASE WHEN any_value(ok) THEN coalesce(string_agg(t.atom ->> '$', chr(10) ORDER BY t.id) FILTER (WHERE t.type = 'VARCHAR' AND t.atom ->> '$' <> ''), '') END AS text FROM g, json_tree(j) t GROUP BY 1""",
     "article_hits_named": f"""
 WITH q AS (SELECT doc_id AS req_id, lower(short_title) AS part, '1' AS number FROM documents),
 f AS (SELECT document_id, article_id, {_canonical_sql('number')} AS number, doc_number, short_title, file_name FROM articles JOIN documents ON doc_id = document_id),
