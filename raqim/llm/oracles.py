@@ -50,5 +50,12 @@ SELECT document_id, num AS number, article_id FROM w WHERE versions > 1 AND plac
 """,
     "p4_found": """
 SELECT d.file_name, a.article_id FROM articles a LEFT JOIN documents d ON d.doc_id = a.document_id WHERE length(a.text) > 3000
+""",
+    # runs of 20 normalised words on both sides, joined as wholes
+    "p9_found": r"""
+WITH f AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+w AS (SELECT side, id, regexp_extract_all(regexp_replace(replace(translate(lower(strip_accents(nfc_normalize(text))), 'أإآٱ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', 'اااا01234567890123456789'), 'ـ', ''), '[\p{M}\x{200B}-\x{200F}\x{AD}\x{2060}\x{FEFF}]', '', 'g'), '[\p{L}\p{N}]+') AS ws FROM f),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[k:k + 19], '') AS gram FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 18)) AS k FROM w WHERE len(ws) >= 20))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram
 """,
 }
