@@ -245,6 +245,6 @@ def score(df: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, f"k {kind}, severity double").withColumnRenamed("k", key)
 
 
-def severity(df: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_chars: int = 64_000_000, key: str = "doc_id", text: str = "text", label: str = "abusive") -> DataFrame:
+def severity(df: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_chars: int = 32_000_000, key: str = "doc_id", text: str = "text", label: str = "abusive") -> DataFrame:
     """(``key``, severity) of every document, by a model fitted on its labelled ones."""
     return score(df, Ordinal.fit(sample_labels(df, labels, most_labels, most_chars, key, text, label)), key, text)
