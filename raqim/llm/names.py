@@ -253,7 +253,7 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     given_pairs = similar_pairs(full.where("given <> ''"), ("type", "family"), "given")
     partners = lambda side, n: leaders.select(F.col("form").alias(side), F.col("n").alias(n))
     given_pairs = given_pairs.join(partners("value", "v"), "value", "left").join(partners("other", "o"), "other", "left")
-    given_pairs = given_pairs.where("v IS NULL OR o IS NULL").unionByName(given_pairs.where(F.least("v", "o") * SPELLING_RATIO < F.greatest("v", "o")))
+    given_pairs = given_pairs.where(F.col("v").isNull() | F.col("o").isNull() | (F.least("v", "o") * SPELLING_RATIO < F.greatest("v", "o")))
     given_edges = given_pairs.select(node("value", "family").alias("a"), node("other", "family").alias("b"))
 
     # nicknames: forms whose families nearly always hold one certain, more frequent given name
@@ -266,7 +266,7 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     heads = rare.join(usual.groupBy("type", "family").agg(F.count("*").alias("held")), ["type", "family"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("nick").orderBy("held", "type", "family"))
     heads = heads.withColumn("place", place).where(F.col("place") <= F.col("fn") - F.ceil(alias_share * F.col("fn")) + 1)
-    tried = heads.join(usual, ["type", "family"]).where("fp >= 2 * fn AND nick <> proper").select("nick", "proper", "fn", "fp").distinct()
+    tried = cut(heads).join(usual, ["type", "family"]).where("fp >= 2 * fn AND nick <> proper").select("nick", "proper", "fn", "fp").distinct()
     together = cut(tried).join(rare.drop("fn"), "nick").join(usual.drop("fp"), ["type", "family", "proper"]).groupBy("nick", "proper", "fn", "fp").agg(F.count("*").alias("both"))
     alias = together.where((F.col("both") >= alias_share * F.col("fn")) & (F.col("both") >= 3)).groupBy("nick").agg(F.max_by("proper", F.struct("both", "fp", "proper")).alias("proper"))
     alias = cut(alias)
@@ -283,7 +283,7 @@ def link_names(df: DataFrame, persons: tuple[str, ...], organisations: tuple[str
     best = cut(best)
 
     # narrow tables, written so that no plan holds all the joins: large plans burden the driver
-    edges = cut(family_edges).union(cut(given_edges)).union(cut(alias_edges))
+    edges = family_edges.union(cut(given_edges)).union(cut(alias_edges))
     roots = _jump(edges, full.select("node", "weight"))
     # initials and cut-off names join the only person they fit
     heads = roots.select(F.split("root", "\t").alias("r"), "root").distinct().select(F.col("r")[0].alias("type"), F.col("r")[1].alias("g"), F.col("r")[2].alias("family"), "root").where("g <> ''")

@@ -83,6 +83,7 @@ def similar_pairs(df: DataFrame, scope: tuple[str, ...], value: str, least: int
     Values shorter than ``least`` take no part. Nulls match nothing. A segment that more than
     ``hot`` values share is no evidence by itself: there what stands beside it must be within
     one edit too, which is again a join on equal keys (each form with a letter left out).
+    The pairs are written to the shared folder, which keeps the plans of their users small.
     """
     keys = list(scope)
     rows = df.select(*keys, F.col(value).alias("value")).where(F.length("value") >= least).distinct()
@@ -97,4 +98,4 @@ def similar_pairs(df: DataFrame, scope: tuple[str, ...], value: str, least: int
         few = probe.join(shared, at, "left_anti").join(index_rows.drop("rest"), at)
         many = _spoilt(probe.join(shared, at, "left_semi")).join(_spoilt(index_rows.join(shared, at, "left_semi")), [*at, "form"])
         found = few.select(*keys, "value", "other").unionByName(many.select(*keys, "value", "other")).where(proper).distinct()
-    return found.mapInArrow(_verify, found.schema)
+    return cut(found.mapInArrow(_verify, found.schema))
