@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from raqim.functions.numbers import clean_number
 from raqim.functions.text import canonical_type, clean_text
-from raqim.operators.nested import Number, record
+from raqim.functions.markers import insert_brackets
+from raqim.operators.nested import Number, record, written
 
 
 def leaf_text(value: object) -> str:
@@ -61,6 +62,34 @@ def json_leaf_text(df: DataFrame, key: str = "record_id", json_col: str = "paylo
     return rows.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
 
 
+def annotate_records(records: DataFrame, entities: DataFrame, key: str = "document_id", json_col: str = "payload") -> DataFrame:
+    """``records`` with markers around the texts of their document's entities in every string of the JSON, as JSON text.
+
+    entities (``key``, ord, ent_id, text). Keys of objects and numbers stay; records that
+    hold no object stay as they are. The entities of a document are one array beside each of
+    its records.
+    """
+    span = F.struct("ord", F.col("text").alias("text"), F.col("ent_id").alias("id"))
+    held = entities.where("text <> '' AND ent_id IS NOT NULL").groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(span)).alias("_held"))
+    rows = records.join(held, F.col(key) == F.col("_k"), "left").drop("_k")
+    kept = [c for c in records.columns if c != json_col]
+    rows = rows.select(*kept, F.col(json_col).alias("_json"), "_held")
+
+    def one(text: str | None, spans: list[dict] | None) -> str | None:
+        try:
+            return written(change_strings(record(text), lambda s: insert_brackets(s, spans)))
+        except ValueError:
+            return text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [one(t, h) for t, h in zip(b.column("_json").to_pylist(), b.column("_held").to_pylist())]
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(made, pa.string())], [*kept, json_col])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), f"`{json_col}` string"])
+    return rows.mapInArrow(run, schema).select(*records.columns)
+
+
 def finalize_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with canonical type, clean number (of known types) and clean text; empty texts become NULL."""
     kind = canonical_type(F.col("type"), only_known=False)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,13 +44,25 @@ def articles_outside_refs(entities: DataFrame, relations: DataFrame) -> tuple[Da
 def place_spans(text: str, spans: list[tuple], near: int = 50) -> list[tuple[int, int]]:
     """New offsets of (start, end, word), in order: kept if the word stands there, else its nearest free
     occurrence within ``near``, else the nearest anywhere; unknown and absent ones keep theirs."""
-    used: list[tuple[int, int]] = []
+    used: list[tuple[int, int]] = []  # in order; those that stay as they were may overlap
+    reach: list[int] = []  # the furthest end of those up to each
     out = []
+
+    def take(a: int, b: int) -> None:
+        i = bisect_left(used, (a, b))
+        used.insert(i, (a, b))
+        reach.insert(i, max(b, reach[i - 1] if i else b))
+        for k in range(i + 1, len(reach)):
+            if reach[k] >= b:
+                break
+            reach[k] = b
+
     for start, end, word in spans:
         if start is None or start < 0 or not word:
             out.append((start, end))
             continue
-        free = lambda a: all(a + len(word) <= x or y <= a for x, y in used)
+        # free if none that begins before the end reaches over the start
+        free = lambda a: (i := bisect_left(used, (a + len(word), -1))) == 0 or reach[i - 1] <= a
         best = None
         if text[start:end] == word and free(start):
             best = start
@@ -62,15 +75,46 @@ def place_spans(text: str, spans: list[tuple], near: int = 50) -> list[tuple[int
             best = next((a for a in places if free(a)), None)
         if best is None:
             out.append((start, end))
-            used.append((start, end))
         else:
             out.append((best, best + len(word)))
-            used.append(out[-1])
+        take(*out[-1])
+    return out
+
+
+def find_in_order(text: str, words: list[str | None]) -> list[tuple[int, int]]:
+    """Offsets of each word in any case: after the one before, else from the start; (-1, -1) where it is not or is empty."""
+    lower, at, out = text.lower(), 0, []
+    for word in words:
+        place = -1
+        if word:
+            place = lower.find(word.lower(), at)
+            place = lower.find(word.lower()) if place < 0 else place
+        if place >= 0:
+            at = place + len(word)
+        out.append((place, at) if place >= 0 else (-1, -1))
     return out
 
 
+def load_offsets(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, ord, start_char, end_char) found anew in the texts, in the order of the mentions, then fitted as by ``fix_offsets``."""
+    return _by_document(entities, documents, lambda body, spans: place_spans(body, [(a, b, s["text"]) for (a, b), s in zip(find_in_order(body, [s["text"] for s in spans]), spans)]))
+
+
+def save_texts(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """``entities`` with the texts that stand at their offsets, which are left out; without known offsets the text stays."""
+    bodies = documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("_body"))
+    known = (F.col("start_char") >= 0) & (F.col("end_char") > F.col("start_char")) & (F.col("end_char") <= F.length("_body"))
+    text = F.when(known, F.substring("_body", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).otherwise(F.col("text"))
+    return entities.join(bodies, "document_id", "left").withColumn("text", text).drop("_body", "start_char", "end_char")
+
+
 def fix_offsets(entities: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, ord, start_char, end_char) with offsets that fit the texts.
+    """(document_id, ord, start_char, end_char) with offsets that fit the texts."""
+    return _by_document(entities, documents, lambda body, spans: place_spans(body, [(s["start_char"], s["end_char"], s["text"]) for s in spans]))
+
+
+def _by_document(entities: DataFrame, documents: DataFrame, place: Callable[[str, list[dict]], list[tuple[int, int]]]) -> DataFrame:
+    """(document_id, ord, start_char, end_char) by ``place``.
 
     The mentions of a document are one array beside its text, so that only documents with
     mentions reach Python, batch by batch.
@@ -82,7 +126,7 @@ def fix_offsets(entities: DataFrame, documents: DataFrame) -> DataFrame:
         for b in batches:
             made = []
             for doc, spans, body in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("document_id", "spans", "body"))):
-                placed = place_spans(body or "", [(s["start_char"], s["end_char"], s["text"]) for s in spans])
+                placed = place(body or "", spans)
                 made += [(doc, s["ord"], *p) for s, p in zip(spans, placed)]
             columns = list(zip(*made)) or [()] * 4
             yield pa.record_batch([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[1:]]], ["document_id", "ord", "start_char", "end_char"])

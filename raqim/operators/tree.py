@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raqim.functions.numbers import drop_stray_digit
+from raqim.functions.numbers import clean_number, drop_stray_digit
+from raqim.functions.text import canonical_type
 from raqim.functions.vocabulary import RANK
 from raqim.operators.lineage import cut
 
@@ -130,8 +131,13 @@ def flatten_articles(df: DataFrame, article: str = "مادة", levels: int = LEV
     return held.withColumn("parent_pos", F.try_element_at(proper, F.lit(-1))["pos"]).drop("ancestors")
 
 
-def prune_structure(df: DataFrame, allowed: tuple[str, ...] = tuple(RANK), article: str = "مادة", levels: int = LEVELS) -> DataFrame:
-    """Without nodes of other types, root articles and numbers that are no digits, and without their subtrees."""
+def prune_structure(df: DataFrame, allowed: tuple[str, ...] = tuple(RANK), article: str = "مادة", levels: int = LEVELS, canonical: bool = False) -> DataFrame:
+    """Without nodes of other types, root articles and numbers that are no digits, and without their subtrees.
+
+    With ``canonical`` types lose their article and numbers become digits before they are judged.
+    """
+    if canonical:
+        df = df.withColumn("type", canonical_type(F.col("type"))).withColumn("number", F.when(F.coalesce(F.trim("number"), F.lit("")) != "", clean_number(F.col("number"))).otherwise(F.col("number")))
     good = F.col("type").isin(*allowed) & ~((F.col("depth") == 0) & (F.col("type") == article)) & F.coalesce(F.trim("number"), F.lit("")).rlike(r"^\d*$")
     held = with_ancestors(df.withColumn("_good", F.coalesce(good, F.lit(False))), levels, "_good")
     return held.where(F.col("_good") & F.forall("ancestors", lambda a: a["_good"])).drop("_good", "ancestors")
@@ -258,10 +264,23 @@ def keep_deepest(df: DataFrame) -> DataFrame:
     )
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The nodes with one article per number, as ``monotone_articles`` chooses it, with its longest text."""
+    kept = monotone_articles(df).select("doc", "pos", F.col("text").alias("_text"), F.lit(True).alias("_kept"))
+    out = df.join(kept, ["doc", "pos"], "left").where((F.col("type") != "مادة") | F.col("_kept"))
+    return out.withColumn("text", F.coalesce("_text", "text")).drop("_text", "_kept")
+
+
+def filled_annexes(df: DataFrame, known: tuple[str, ...] = tuple(RANK)) -> DataFrame:
+    """``annexes`` that hold any text."""
+    return annexes(df, known).where(F.coalesce(F.trim("text"), F.lit("")) != "")
+
+
 def post_process(df: DataFrame, profile: str = "pipeline") -> DataFrame:
-    """The cleaning of a built tree: flatten, stray digits, merge, monotone articles, strays, prune.
+    """The cleaning of a built tree: flatten, stray digits, merge, monotone articles, strays, monotone articles, prune.
 
-    ``ui`` leaves out the digit repair and the pruning.
+    ``ui`` leaves out the digit repair, the second choice of articles and the pruning. Blank
+    annexes and tables are left out by ``filled_annexes`` and ``documents.without_blank_tables``.
     """
     levels = len(RANK) + 2
     # each stage is written once: the joins of the next one read it several times
@@ -270,7 +289,7 @@ def post_process(df: DataFrame, profile: str = "pipeline") -> DataFrame:
         out = out.withColumn("number", drop_stray_digit(F.col("number")))
     out = cut(merge_duplicates(with_depth(cut(out.drop("depth")), levels), levels=levels))
     out = cut(renumber(out, levels))
-    kept = monotone_articles(out).select("doc", "pos", F.col("text").alias("_text"), F.lit(True).alias("_kept"))
-    out = out.join(kept, ["doc", "pos"], "left").where((F.col("type") != "مادة") | F.col("_kept")).withColumn("text", F.coalesce("_text", "text")).drop("_text", "_kept")
-    out = with_depth(cut(attach_strays(out).drop("depth")), levels)
-    return prune_structure(out, levels=levels) if profile != "ui" else out
+    out = cut(attach_strays(_once(out)).drop("depth"))
+    if profile == "ui":
+        return with_depth(out, levels)
+    return prune_structure(with_depth(cut(_once(out)), levels), levels=levels, canonical=True)

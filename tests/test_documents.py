@@ -39,3 +39,10 @@ def test_chain_after_extraction(spark):
     assert out.where("type = 'LAW'").first().start_char == text.index("القانون")
     kept, _ = mentions.postprocess(docs, ent, rel, parity=False)
     assert {"7 الفصل", "8 الفصل", "9 الفصل"} <= {r.normalized for r in kept.collect()}
+
+
+def test_marked_records(spark):
+    rows = spark.createDataFrame([(1, 7, '{"t": "القانون هنا", "n": [3, {"x": "لا"}]}'), (2, 8, "none"), (3, 7, None)], "record_id bigint, document_id bigint, payload string")
+    entities = spark.createDataFrame([(7, 0, "4", "القانون"), (7, 1, "5", ""), (9, 0, "1", "x")], "document_id bigint, ord int, ent_id string, text string")
+    got = {r.record_id: r.payload for r in documents.annotate_records(rows, entities).collect()}
+    assert got == {1: '{"t":"<القانون, id:4> هنا","n":[3,{"x":"لا"}]}', 2: "none", 3: None}

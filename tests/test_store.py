@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,34 @@ def test_law_number_of_a_reference(spark):
     assert {r.file_name: r.law_number for r in store.document_rows(spark.createDataFrame(rows, schema)).collect()} == {"a": "1.2", "b": "5", "c": None, "d": None}
 
 
+def test_offsets_are_found_in_order(spark):
+    assert spans.find_in_order("Le Juge et le juge", ["juge", "LE", "juge", None, "zz", "et"]) == [(3, 7), (11, 13), (14, 18), (-1, -1), (-1, -1), (8, 10)]
+    docs = spark.createDataFrame([(1, "ab AB"), (2, None)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, 0, "ab", None, None), (1, 1, "ab", None, None), (2, 0, "x", 0, 1)], "document_id bigint, ord int, text string, start_char int, end_char int")
+    placed = spans.load_offsets(e, docs)
+    assert sorted(tuple(r) for r in placed.collect()) == [(1, 0, 0, 2), (1, 1, 3, 5), (2, 0, -1, -1)]
+    moved = e.drop("start_char", "end_char").join(placed, ["document_id", "ord"])
+    assert sorted((r.document_id, r.ord, r.text) for r in spans.save_texts(moved, docs).collect()) == [(1, 0, "ab"), (1, 1, "AB"), (2, 0, "x")]
+
+
+def test_placing_equals_a_plain_search():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("ab ") for _ in range(40))
+        asked = [(a, a + n, text[b : b + n]) for a, b, n in ((rng.randrange(-1, 40), rng.randrange(38), rng.randrange(0, 4)) for _ in range(12))]
+        used, plain = [], []
+        for a, b, w in asked:
+            if a < 0 or not w:
+                plain.append((a, b))
+                continue
+            free = lambda x: all(x + len(w) <= p or q <= x for p, q in used)  # noqa: B023
+            places = sorted((x for x in range(len(text)) if text.startswith(w, x)), key=lambda x: (abs(x - a) > 50, abs(x - a)))
+            best = a if text[a:b] == w and free(a) else next((x for x in places if free(x)), None)
+            plain.append((a, b) if best is None else (best, best + len(w)))
+            used.append(plain[-1])
+        assert spans.place_spans(text, asked) == plain
+
+
 def test_spans():
     assert spans.place_spans("ab ab ab", [(0, 2, "ab"), (1, 3, "ab"), (-1, -1, "ab"), (5, 7, "zz")]) == [(0, 2), (3, 5), (-1, -1), (5, 7)]
 
