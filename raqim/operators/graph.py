@@ -60,6 +60,17 @@ def article_law(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return met.select("document_id", "ent_id", F.substring_index("laws", ",", 1).alias("law"))
 
 
+def reference_law(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(document_id, ent_id, law): of each INTERNAL_REF the number of the first law that it leads to, in the direction of the relation."""
+    from raqim.functions.numbers import law_number
+
+    nodes = nodes_of(entities)
+    laws = nodes.where("type IN ('LAW', 'DECRET', 'DAHIR', 'CONSTITUTION', 'DECREE', 'STATUTE')").select("document_id", F.col("ent_id").alias("target_id"), law_number(F.col("text")).alias("law")).where("law IS NOT NULL")
+    refs = nodes.where("type = 'INTERNAL_REF'").select("document_id", F.col("ent_id").alias("source_id"))
+    led = relations.join(refs, ["document_id", "source_id"], "left_semi").join(laws, ["document_id", "target_id"])
+    return led.groupBy("document_id", F.col("source_id").alias("ent_id")).agg(F.min_by("law", F.struct("ord", "law")).alias("law"))
+
+
 def entity_references(relations: DataFrame) -> DataFrame:
     """(document_id, node, n, others): how often and beside what each node is related, either way round."""
     return neighbours(relations).groupBy("document_id", "node").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("others"))

@@ -160,6 +160,20 @@ def fixed_offsets(spark: SparkSession, d: str) -> DataFrame:
     return spans.fix_offsets(_entities(spark, d), table(spark, d, "documents", "doc_id", "text"))
 
 
+def loaded_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of all mentions found anew in their documents."""
+    return spans.load_offsets(_entities(spark, d), table(spark, d, "documents", "doc_id", "text"))
+
+
+def saved_texts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.save_texts(_entities(spark, d), table(spark, d, "documents", "doc_id", "text")).select("document_id", "entity_id", "text")
+
+
+def annotated_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with markers around the mentions of its document."""
+    return documents.annotate_records(table(spark, d, "structure_records", "record_id", "document_id", "payload"), _entities(spark, d))
+
+
 def shifted_spans(spark: SparkSession, d: str) -> DataFrame:
     rows = _placed(spark, d).select("document_id", "entity_id", "start_char", "end_char")
     return spans.shift_spans(rows, F.lit(120), F.lit(160), F.lit("نص بديل"))
@@ -250,7 +264,7 @@ QUERIES = {
     "graphml_lines": graphml_lines, "record_law_numbers": record_law_numbers, "docs_by_entity": docs_by_entity, "docs_by_person": docs_by_person, "judged_by_like": judged_by_like,
     "docs_per_type": docs_per_type, "table_counts": table_counts, "law_articles": law_articles, "global_ids": global_ids, "normal_forms": normal_forms, "article_normals": article_normals,
     "assign_numeric_ids": assign_numeric_ids, "expand_references": expanded_references, "articles_outside_dates": articles_outside_dates, "articles_outside_refs": articles_outside_refs,
-    "fix_offsets": fixed_offsets, "shift_spans_on_replace": shifted_spans, "next_id": next_ids, "graph_edges": graph_edges, "relation_tooltips": relation_tooltips,
+    "fix_offsets": fixed_offsets, "load_offsets": loaded_offsets, "save_texts": saved_texts, "annotate_records": annotated_records, "shift_spans_on_replace": shifted_spans, "next_id": next_ids, "graph_edges": graph_edges, "relation_tooltips": relation_tooltips,
     "entity_references": entity_references, "law_neighbours": law_neighbours, "upsert_documents": upsert_documents, "replace_children": replace_children, "document_rows": document_titles,
     "overlay": catalogs, "adhoc_sql": adhoc_sql, "stream_import": stream_import,
 }
@@ -275,6 +289,9 @@ _LISTS = f"""lists AS (SELECT id, list_transform(regexp_extract_all(said, '[0-9]
 _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 
 SQL = {
+    "save_texts": """
+SELECT e.document_id, e.entity_id, CASE WHEN start_char >= 0 AND end_char > start_char AND end_char <= length(d.text) THEN substr(d.text, start_char + 1, end_char - start_char) ELSE e.text END AS text
+FROM entities e LEFT JOIN documents d ON d.doc_id = e.document_id""",
     "json_leaf_text": r"""
 WITH v AS (SELECT record_id, regexp_extract(payload, '(?s)\{.*\}') AS j FROM structure_records), g AS (SELECT record_id, CASE WHEN json_valid(j) THEN j ELSE '{}' END AS j, json_valid(j) AS ok FROM v)
 SELECT record_id, CASE WHEN any_value(ok) THEN coalesce(string_agg(t.atom ->> '$', chr(10) ORDER BY t.id) FILTER (WHERE t.type = 'VARCHAR' AND t.atom ->> '$' <> ''), '') END AS text FROM g, json_tree(j) t GROUP BY 1""",

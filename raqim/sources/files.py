@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raqim.functions.text import html_escape
+from raqim.operators.documents import json_leaf_text
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -58,6 +59,14 @@ def read_pdfs(spark: SparkSession, path: str, ocr: Callable[[bytes], str] | None
     return rows.mapInPandas(run, "file_name string, text string")
 
 
+def read_documents(spark: SparkSession, path: str, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(file_name, kind, text) of all text, JSON and PDF files of a folder; of JSON the strings in it, of PDF what ``ocr`` reads."""
+    texts = read_texts(spark, path).select("file_name", F.lit("text").alias("kind"), "text")
+    objects = json_leaf_text(read_texts(spark, path, "*.json"), "file_name", "text").select("file_name", F.lit("json").alias("kind"), "text")
+    out = texts.unionByName(objects)
+    return out if ocr is None else out.unionByName(read_pdfs(spark, path, ocr).select("file_name", F.lit("pdf").alias("kind"), "text"))
+
+
 def ask(df: DataFrame, prompt: Column, model: Callable[[str], str], key: str) -> DataFrame:
     """(``key``, reply): ``model`` is any function from a prompt to a reply, called in the workers."""
     rows = df.select(F.col(key).alias("k"), prompt.alias("prompt"))

@@ -57,6 +57,7 @@ def test_popups(spark):
     laws = spark.createDataFrame([("1.1", "5", "other"), ("3.4", "5", "of the law"), ("1.1", "6", "first")], "law string, number string, text string")
     texts = spark.createDataFrame([(1, "6", "own")], "document_id bigint, number string, text string")
     got = {x.ent_id: x.popup for x in references.article_popups(e, r, laws, texts).collect()}
+    assert [tuple(x) for x in graph.reference_law(e, r.union(spark.createDataFrame([(1, 3, "4", "refers_to", "3", "2"), (1, 4, "5", "refers_to", "2", "3")], REL))).collect()] == [(1, "3", "3.4")]
     assert got == {"1": "الفصل 5\nof the law", "4": "الفصل 6\nown", "3": "الفصل 5\nof the law\n\nالفصل 6\nown"}
 
 
