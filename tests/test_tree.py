@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raqim.operators import tree
+from raqim.operators.lineage import cut, drop_cuts
 
 SCHEMA = "doc bigint, pos int, type string, number string, text string"
 
@@ -105,3 +106,8 @@ def test_renumbering_follows_the_tree(spark):
     df = spark.createDataFrame(rows, "doc bigint, pos int, parent_pos int, type string")
     got = sorted((r.doc, r.pos, r.parent_pos, r.type) for r in tree.renumber(df, 4).collect())
     assert got == [(1, 0, None, "باب"), (1, 1, 0, "مادة"), (1, 2, None, "فصل"), (1, 3, 2, "مادة"), (2, 0, None, "باب")]
+
+
+def test_written_tables_can_be_dropped(spark):
+    df = cut(spark.range(3))
+    assert df.count() == 3 and drop_cuts(spark) >= 1 and drop_cuts(spark) == 0
