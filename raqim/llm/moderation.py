@@ -128,7 +128,7 @@ class Ordinal:
         if not self.raising.isdisjoint(said):
             scores = [self.score(w) for s in _END.split(text) if (w := _WORD.findall(s))]
             worst = max(scores)
-        return float(sum(1 / (1 + np.exp(min(c - worst, 700.0))) for c in self.cuts))
+        return float(sum(1 / (1 + np.exp(c - worst)) for c in self.cuts if c - worst < 700))
 
     def score(self, words: list[str]) -> float:
         if self.raising.isdisjoint(words):
