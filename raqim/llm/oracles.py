@@ -16,7 +16,9 @@ CREATE_FIELDS AS (
     CASE WHEN starts AND len(fields) > 1 THEN array_to_string(fields, '|')
          ELSE regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g') END AS c
   FROM fields
-), kept AS (SELECT * FROM canon WHERE length(replace(c, '|', '')) >= 60)
+), long AS (SELECT *, replace(c, '|', '') AS l FROM canon WHERE length(replace(c, '|', '')) >= 60
+), plainly AS (SELECT article_id, num, c, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g') AS plain FROM long JOIN articles USING (article_id)
+), kept AS (SELECT article_id, num, first_value(c) OVER (PARTITION BY num, plain ORDER BY len(string_split(c, '|')) DESC, c) AS c FROM plainly)
 """.replace("CREATE_FIELDS", "fields")
 
 SQL = {

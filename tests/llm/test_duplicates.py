@@ -26,6 +26,14 @@ def brute(rows):
     return {(min(g), i) for g in groups.values() for i in g if i != min(g)}
 
 
+def test_layouts_that_hide_a_field(spark):
+    a = "Partie concernée: l'administration | Montant: 95867 dirhams | Délai: 222 jours | Référence:…"
+    rows = [(1, "1", a), (2, "1", a.replace("Référence:…", "Référence…")), (3, "1", a.replace(" ", "\t")), (4, "1", " | ".join(a.split(" | ")[::-1])), (5, "2", a)]
+    members, groups = layout_groups(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.first_id, r.article_id) for r in members.collect()} == {(1, i) for i in (1, 2, 3, 4)}
+    assert sorted((r.first_id, r.copies) for r in groups.collect()) == [(1, 4), (5, 1)]
+
+
 def test_layouts_equal_brute_force(spark):
     fields = ["Montant: 54932 dirhams", "Délai: 20 jours", "Référence: 227345/63", "Objet: la saisie commune de la requête"]
     rows = [(1, "5", LONG), (2, "(5)", LONG.upper()), (3, "5", LONG.replace(" ", " \n ")), (4, "6", LONG), (5, None, LONG), (6, "", LONG + "!"), (7, "5", LONG), (8, "5", LONG + "é"), (9, "5", "short"), (10, "5", None), (11, "5", "")]
