@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from raqim.functions.numbers import canonical_num
 from raqim.functions.text import first_filled, law_aliases
 from raqim.operators.graph import law_neighbours, nodes_of
+from raqim.operators.lineage import cut
 
 
 def article_hits(requests: DataFrame, documents: DataFrame, articles: DataFrame, limit: int = 5) -> DataFrame:
@@ -51,18 +52,24 @@ def article_cascade(requests: DataFrame, documents: DataFrame, articles: DataFra
     columns = ["req_id", "document_id", "article_id", "doc_number"]
     keyed = found.withColumn("law", F.explode(F.array_distinct(F.array("doc_number", "law_number")))).where("law IS NOT NULL")
     first = asked.join(keyed, ["number", "law"]).select(*columns, F.lit(1).alias("stage"))
-    left = asked.join(first.select("req_id"), "req_id", "left_anti")
+    # each stage is read for its hits and for what it leaves over: written once
+    first = cut(first)
+    left = cut(asked.join(first.select("req_id"), "req_id", "left_anti"))
     titles = held.select(F.explode(F.array("short_title", "file_name")).alias("title"), "document_id").where("title IS NOT NULL")
     second = _inside(left.where("law IS NOT NULL").select("req_id", "number", F.col("law").alias("part")), titles, found).select(*columns, F.lit(2).alias("stage"))
+    second = cut(second)
     left = left.join(second.select("req_id"), "req_id", "left_anti")
-    lower = titles.select(F.lower("title").alias("title"), "document_id")
-    third = _inside(left.select("req_id", "number", F.explode("names").alias("part")).where("part IS NOT NULL"), lower, found).select(*columns, F.lit(3).alias("stage"))
-    left = left.join(third.select("req_id"), "req_id", "left_anti")
+    hits = first.unionByName(second)
+    if "names" in requests.columns:
+        lower = titles.select(F.lower("title").alias("title"), "document_id")
+        third = _inside(left.select("req_id", "number", F.explode("names").alias("part")).where("part IS NOT NULL"), lower, found).select(*columns, F.lit(3).alias("stage"))
+        left = left.join(third.select("req_id"), "req_id", "left_anti")
+        hits = hits.unionByName(third)
     by_number = Window.partitionBy("number").orderBy(F.col("doc_number").asc_nulls_last(), "document_id", "article_id")
     best = found.withColumn("r", F.row_number().over(by_number)).where(F.col("r") <= limit)
     last = left.join(best, "number").select(*columns, F.lit(4).alias("stage"))
     order = Window.partitionBy("req_id").orderBy(F.col("doc_number").asc_nulls_last(), "document_id", "article_id")
-    placed = first.unionByName(second).unionByName(third).unionByName(last).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    placed = hits.unionByName(last).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     return placed.select("req_id", "place", F.col("document_id").alias("doc_id"), "article_id", "stage")
 
 
@@ -73,8 +80,8 @@ def _inside(asked: DataFrame, titles: DataFrame, found: DataFrame) -> DataFrame:
     which there are few, on all runs of their own length. Parts that are '' are in every title.
     """
     parts, kinds = asked.select("part").distinct(), titles.select("title").distinct()
-    runs = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("title"), i, F.lit(n)))))
-    grams = kinds.select("title", runs(3).alias("run")).unionByName(kinds.select("title", runs(2).alias("run"))).unionByName(kinds.select("title", runs(1).alias("run"))).unionByName(kinds.select("title", F.lit("").alias("run"))).distinct()
+    runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("title"), i, F.lit(n))))
+    grams = kinds.select("title", F.explode_outer(F.concat(runs(3), runs(2), runs(1), F.array(F.lit("")))).alias("run"))
     met = parts.withColumn("run", F.left("part", F.lit(3))).join(grams, "run").where(F.col("title").contains(F.col("part"))).select("part", "title")
     documents = met.join(titles, "title").select("part", "document_id").distinct()
     return asked.join(documents, "part").join(found, ["document_id", "number"]).drop("part").distinct()
