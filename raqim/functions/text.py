@@ -104,13 +104,13 @@ def html_escape(text: Column) -> Column:
 
 def law_hint(text: Column) -> Column:
     """STRUCT(name, number): what follows ``من`` up to the line end, and the first number in it."""
-    name = strip(found(text, r"من ([^\n]+)", 1))
+    name = strip(found(text, r"من ([^\n]+)", 1))  # fixed value
     return F.struct(name.alias("name"), canonical_num(name).alias("number"))
 
 
 def titled_law_number(*titles: Column) -> Column:
     """The number after القانون رقم in the first title that has one."""
-    return F.coalesce(*[found(ascii_digits(t), r"القانون\s+رقم\s*(\d+(?:[./]\d+)*)", 1) for t in titles])
+    return F.coalesce(*[found(ascii_digits(t), r"القانون\s+رقم\s*(\d+(?:[./]\d+)*)", 1) for t in titles])  # fixed value
 
 
 def referenced_law(references: Column) -> Column:
@@ -120,7 +120,7 @@ def referenced_law(references: Column) -> Column:
 
 def law_aliases(title: Column) -> Column:
     """All numbers that follow القانون .. رقم in a title."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(ascii_digits(title), F.lit(r"القانون[^\d]*رقم\s*([\d.]+)"), F.lit(1)), canonical_num))
+    return F.array_distinct(F.transform(F.regexp_extract_all(ascii_digits(title), F.lit(r"القانون[^\d]*رقم\s*([\d.]+)"), F.lit(1)), canonical_num))  # fixed value
 
 
 def first_filled(*values: Column) -> Column:
@@ -137,7 +137,7 @@ def inherited_fields(reply: Column) -> Column:
     text = F.regexp_replace(reply, r"^\s+", "")
     begins = text.startswith("Inherited context:")
     line = F.when(begins, F.regexp_extract(text, r"^([^\n]*)", 1))
-    field = lambda i: F.trim(found(line, r'^Inherited context:\s*type=([^,]+),\s*number=([^,]+),\s*title="([^"]*)"', i))
+    field = lambda i: F.trim(found(line, r'^Inherited context:\s*type=([^,]+),\s*number=([^,]+),\s*title="([^"]*)"', i))  # fixed value
     rest = F.when(begins, F.regexp_replace(text, r"^[^\n]*\n?\s*", "")).otherwise(reply)
     return F.struct(field(1).alias("type"), field(2).alias("number"), field(3).alias("title"), rest.alias("rest"))
 
