@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from raqim.operators.lineage import cut
 
-#: A label of a field: a letter, then up to 40 letters, marks, blanks or apostrophes.
-LABEL = r"\p{L}[\p{L}\p{M} '’]{1,40}"
-#: What may stand before a label: the start of the text, a line break or a separator.
-BEFORE = r"(?:^|[\n\r\t|;؛,،•·/])"
+#: What parts fields: a line break or a separator.
+_PARTS = r"\n\r\t|;؛,،•·/"
+#: A label of a field and its colon: anything with a letter in it that holds neither, of any length.
+LABEL = rf"[^{_PARTS}:：\p{{L}}]*+\p{{L}}[^{_PARTS}:：]*+[:：]"
+#: What may stand before a label: the start of the text or what parts fields.
+BEFORE = rf"(?:^|[{_PARTS}])"
 
 
 def letters(value: Column) -> Column:
@@ -31,25 +33,36 @@ def letters(value: Column) -> Column:
 
 def canonical_text(text: Column) -> Column:
     """``letters`` of a text; of a labelled text those of its fields, sorted and joined by ``|``."""
-    starts = text.rlike(rf"^[^\p{{L}}\p{{N}}]*{LABEL}[:：]")
-    fields = F.split(text, rf"{BEFORE}(?=[^\p{{L}}\p{{N}}\n]*{LABEL}[:：])")
+    starts = text.rlike(rf"^[^\p{{L}}\p{{N}}]*+{LABEL}")
+    fields = F.split(text, rf"{BEFORE}(?={LABEL})")
     fields = F.array_sort(F.filter(F.transform(fields, letters), lambda f: f != ""))
     return F.when(starts & (F.size(fields) > 1), F.array_join(fields, "|")).otherwise(letters(text))
 
 
 def _agreed(canon: DataFrame) -> DataFrame:
-    """``canon`` with one key for all records whose letters agree in their order.
+    """``canon`` with one key for all records that are one by their letters in order or by their fields.
 
     Where one layout shows a field and another hides it (a blank of another kind in a label,
-    a lost colon) the keys differ though the letters don't; the key of most fields holds then.
+    a lost colon) the keys differ though the letters don't. Such keys are joined along any
+    chain of records; each group takes its smallest key.
     """
     plain = canon.withColumn("plain", F.coalesce("plain", "key"))
     mixed = plain.groupBy("plain").agg(F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("b")).where("a <> b").select("plain")
     mixed = cut(mixed)
     if mixed.isEmpty():
         return canon
-    best = cut(plain.join(mixed, "plain").groupBy("plain").agg(F.max(F.struct("fields", "key")).alias("best")).select("plain", F.col("best.key").alias("one")))
-    return cut(plain.join(best, "plain", "left").select("raw_first", "n", "raw_key", F.coalesce("one", "key").alias("key")))
+    edges = cut(plain.join(mixed, "plain").select("plain", "key").distinct())
+    link = edges.select("key", F.col("key").alias("one")).distinct()
+    while True:
+        # the smallest key one record away, and the one that was known for that
+        near = edges.join(link, "key").groupBy("plain").agg(F.min("one").alias("near"))
+        near = edges.join(near, "plain").groupBy("key").agg(F.min("near").alias("near"))
+        known = link.select(F.col("key").alias("near"), F.col("one").alias("far"))
+        link = cut(link.join(near, "key").join(known, "near").select("key", F.least("near", "far").alias("one"), (F.least("near", "far") != F.col("one")).alias("moved")))
+        moved = not link.where("moved").isEmpty()
+        link = link.select("key", "one")
+        if not moved:
+            return cut(canon.join(link, "key", "left").select("raw_first", "n", "raw_key", F.coalesce("one", "key").alias("key")))
 
 
 def digest(*values: Column) -> Column:
@@ -65,8 +78,8 @@ def layout_groups(df: DataFrame, key: str = "article_id", number: str = "number"
     groups: ``first_id``, ``copies`` (rows) and ``layouts`` (distinct raw forms), also of
     records without a copy, so that it holds one row per distinct record.
     """
-    # a text with min_chars letters is at least as long, so nothing is lost here
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(number), F.lit("")).alias("num"), F.col(text).alias("txt")).where(F.length("txt") >= min_chars)
+    # lower case makes at most two characters of one, so no text with min_chars letters is lost here
+    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(number), F.lit("")).alias("num"), F.col(text).alias("txt")).where(F.length("txt") * 2 >= min_chars)
     distinct = rows.groupBy("num", "txt").agg(F.min("id").alias("raw_first"), F.count("*").alias("n"))
     canon = distinct.withColumn("c", canonical_text(F.col("txt"))).where(F.length(F.replace(F.col("c"), F.lit("|"), F.lit(""))) >= min_chars)
     # narrow and read three times: written once instead of canonicalised three times
@@ -78,3 +91,15 @@ def layout_groups(df: DataFrame, key: str = "article_id", number: str = "number"
     repeated = canon.join(groups.where("copies > 1").select("key", "first_id"), "key").select("raw_key", "first_id")
     members = rows.select("id", digest(F.col("num"), F.col("txt")).alias("raw_key")).join(repeated, "raw_key").select(F.col("id").alias(key), "first_id")
     return members, groups.select("first_id", "copies", "layouts")
+
+
+def distinct_records(df: DataFrame, key: str = "article_id", number: str = "number", text: str = "text", min_chars: int = 60) -> DataFrame:
+    """``df`` with one row per record, that of the smallest ``key``, and its ``copies`` and ``layouts``.
+
+    Null, empty and short texts are compared with nothing and each stay as a record of one copy.
+    """
+    members, groups = layout_groups(df, key, number, text, min_chars)
+    others = members.where(F.col(key) != F.col("first_id")).select(key).distinct()
+    counted = groups.select(F.col("first_id").alias(key), "copies", "layouts")
+    once = F.lit(1).cast("bigint")
+    return df.join(others, key, "left_anti").join(counted, key, "left").withColumns({"copies": F.coalesce("copies", once), "layouts": F.coalesce("layouts", once)})

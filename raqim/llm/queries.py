@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raqim.llm.confusables import changed_values, unify
-from raqim.llm.layout_duplicates import layout_groups
+from raqim.llm.layout_duplicates import distinct_records, layout_groups
 from raqim.llm.leaks import find_leaks
 from raqim.llm.moderation import severity
 from raqim.llm.names import link_names, linked_pairs
@@ -40,6 +40,11 @@ def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
     return groups
 
 
+def p1_records(spark: SparkSession, directory: str) -> DataFrame:
+    """Every article once, with its number of copies; those too short to be compared, too."""
+    return distinct_records(table(spark, directory, "articles", "article_id", "number", "text"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     noise, _ = repair(table(spark, directory, "articles", "article_id", "text"))
     return noise.select("article_id", "noise")
@@ -160,6 +165,7 @@ def p10_rates(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p1_records": p1_records,
     "p2_found": p2_found,
     "p2_repaired": p2_repaired,
     "p3_found": p3_found,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raqim.llm import survivors
-from raqim.llm.layout_duplicates import layout_groups
+from raqim.llm.layout_duplicates import distinct_records, layout_groups
 
 SCHEMA = "article_id bigint, number string, text string"
 LONG = "Toutefois, l'unité administrative évalue la subvention tardive et coordonne la déclaration préalable."
@@ -34,6 +34,36 @@ def test_layouts_that_hide_a_field(spark):
     assert sorted((r.first_id, r.copies) for r in groups.collect()) == [(1, 4), (5, 1)]
 
 
+def test_labels_of_any_length_and_kind(spark):
+    long = "Montant de la contribution due par l'exploitant agricole de la commune"
+    for label in (long, "Sous-total", "N° du dossier", "Réf. (ancienne)", "1re tranche", "N"):
+        fields = [f"{label}: 54932 dirhams", "Délai: 20 jours", "Objet: la saisie commune de la requête préalable"]
+        rows = [(i, "7", " | ".join(fields[i:] + fields[:i])) for i in range(3)] + [(3, "7", " | ".join(fields).replace("54932", "54933"))]
+        members, _ = layout_groups(spark.createDataFrame(rows, SCHEMA))
+        assert {(r.first_id, r.article_id) for r in members.collect()} == {(0, 0), (0, 1), (0, 2)}, label
+
+
+def test_chains_of_layouts(spark):
+    # the order that one layout shows in full is hidden in the next, which agrees with a third by its fields
+    fields = [f"Champ {c}{c}: la valeur {c} du dossier" for c in "abcdefgh"]
+    rows = []
+    for i in range(8):
+        turned = fields[i:] + fields[:i]
+        hidden = turned[0].replace(":", "") + "; " + turned[1]
+        rows += [(10 * i, "1", "; ".join([turned[2], hidden, *turned[3:]])), (10 * i + 1, "1", "; ".join([*turned[3:], turned[2], hidden]))]
+        rows.append((10 * i + 2, "1", "; ".join([*turned[3:], turned[2], *turned[:2]])))
+    members, groups = layout_groups(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.first_id, r.article_id) for r in members.collect()} == {(0, r[0]) for r in rows}
+    assert [(r.first_id, r.copies, r.layouts) for r in groups.collect()] == [(0, 24, 24)]
+
+
+def test_every_record_once(spark):
+    grown = "İ" * 40  # 80 letters and marks in lower case
+    rows = [(1, "5", LONG), (2, "5", LONG.upper()), (3, "5", "court"), (4, "5", "court"), (5, "5", None), (6, None, ""), (7, "5", LONG), (8, "9", grown), (9, "9", grown + ".")]
+    out = {r.article_id: (r.number, r.text, r.copies, r.layouts) for r in distinct_records(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: ("5", LONG, 3, 2), 3: ("5", "court", 1, 1), 4: ("5", "court", 1, 1), 5: ("5", None, 1, 1), 6: (None, "", 1, 1), 8: ("9", grown, 2, 2)}
+
+
 def test_layouts_equal_brute_force(spark):
     fields = ["Montant: 54932 dirhams", "Délai: 20 jours", "Référence: 227345/63", "Objet: la saisie commune de la requête"]
     rows = [(1, "5", LONG), (2, "(5)", LONG.upper()), (3, "5", LONG.replace(" ", " \n ")), (4, "6", LONG), (5, None, LONG), (6, "", LONG + "!"), (7, "5", LONG), (8, "5", LONG + "é"), (9, "5", "short"), (10, "5", None), (11, "5", "")]
