@@ -39,6 +39,8 @@ NOISE = 0.01
 #: Share of the documents holding a feature that speaks for abuse which are objected to, at least. A phrase that only
 #: stands more often in such documents than in others (the title of an opinion) doesn't make them so.
 PURE = 0.8
+#: Share of the features more frequent in such documents that may be so by chance (Benjamini and Hochberg).
+FALSE = 0.05
 
 _END = re.compile(r"[.!?؟;؛:\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -147,8 +149,8 @@ class Ordinal:
 
         A feature may raise the score if ``least_docs`` graded documents above 0 hold it, they
         are ``PURE`` of those that hold it, and so many more than its share of all documents
-        that fewer than one of all features tried would do so by chance. Other features of
-        sentences that hold one of those, in documents graded 0, may only lower it.
+        that of the features taken only the share ``FALSE`` would do so by chance. Other
+        features of sentences that hold one of those, in documents graded 0, may only lower it.
         """
         bags = [[features(w) for w in sentences(t)] for t, _ in graded]
         grades = np.array([g for _, g in graded], np.int64)
@@ -160,7 +162,10 @@ class Ordinal:
                 above.update(held)
         tried = [f for f, a in above.items() if a >= least_docs]
         prior = (grades > 0).mean() if len(grades) else 0.0
-        start = {f for f in tried if above[f] >= PURE * all_docs[f] and _chance(above[f], all_docs[f], len(grades), int((grades > 0).sum())) * len(tried) < 1.0}
+        chance = {f: _chance(above[f], all_docs[f], len(grades), int((grades > 0).sum())) for f in tried}
+        # the largest chance at which no more than the share FALSE of those taken are expected to be there by chance
+        most = max((c for i, c in enumerate(sorted(chance.values()), 1) if c * len(tried) <= FALSE * i), default=-1.0)
+        start = {f for f in tried if chance[f] <= most and above[f] >= PURE * all_docs[f]}
         if not start or prior == 1.0:
             return cls({}, (1e9, 1e9))
         raising = sorted(start, key=str)
